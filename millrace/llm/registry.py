@@ -1,11 +1,12 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from millrace.llm import mixing, sharding, warc
+from millrace.llm import html_text, mixing, sharding, warc
 
 QUERIES = {
     "op4_warc": warc.op4_warc,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
+    "op10_html": html_text.op10_html,
 }
 
 SQL = {"op4_warc": warc.OP4_SQL, "op8_mixing": mixing.OP8_SQL}
