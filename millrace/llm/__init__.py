@@ -1,0 +1,10 @@
+"""Operators for large training-data pipelines.
+
+Functions of this subpackage travel to the executors by value, so these need no copy of it.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -1,8 +1,9 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from millrace.llm import html_text, mixing, sharding, warc
+from millrace.llm import html_text, mixing, sharding, toxicity, warc
 
 QUERIES = {
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
