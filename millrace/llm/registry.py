@@ -1,10 +1,11 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from millrace.llm import html_text, mixing, sharding, toxicity, warc
+from millrace.llm import html_text, mixing, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
+    "op5_simhash": simhash.op5_simhash,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_html": html_text.op10_html,
