@@ -1,15 +1,16 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from millrace.llm import decontamination, html_text, mixing, sharding, simhash, toxicity, warc
+from millrace.llm import chat, decontamination, html_text, mixing, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
     "op5_simhash": simhash.op5_simhash,
     "op6_decontamination": decontamination.op6_decontamination,
+    "op7_chat": chat.op7_chat,
     "op8_mixing": mixing.op8_mixing,
     "op9_sharding": sharding.op9_sharding,
     "op10_html": html_text.op10_html,
 }
 
-SQL = {"op4_warc": warc.OP4_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op4_warc": warc.OP4_SQL, "op7_chat": chat.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
