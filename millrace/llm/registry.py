@@ -1,8 +1,9 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from millrace.llm import chat, decontamination, html_text, mixing, sharding, simhash, toxicity, warc
+from millrace.llm import chat, decontamination, embeddings, html_text, mixing, sharding, simhash, toxicity, warc
 
 QUERIES = {
+    "op2_embeddings": embeddings.op2_embeddings,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
     "op5_simhash": simhash.op5_simhash,
@@ -13,4 +14,4 @@ QUERIES = {
     "op10_html": html_text.op10_html,
 }
 
-SQL = {"op4_warc": warc.OP4_SQL, "op7_chat": chat.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op2_embeddings": embeddings.OP2_SQL, "op4_warc": warc.OP4_SQL, "op7_chat": chat.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
