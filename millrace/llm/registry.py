@@ -1,8 +1,9 @@
 """The queries of the training-data operators and the SQL of those that SQL can express."""
 
-from millrace.llm import chat, decontamination, embeddings, html_text, mixing, sharding, simhash, toxicity, warc
+from millrace.llm import chat, decontamination, embeddings, html_text, mixing, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_suffix": suffix_dedup.op1_suffix,
     "op2_embeddings": embeddings.op2_embeddings,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_warc": warc.op4_warc,
