@@ -39,18 +39,19 @@ def water_fill(sources: DataFrame, epochs: int, total: Column) -> DataFrame:
     return ranked.withColumn("target", F.coalesce(F.least(cap.cast("double"), F.col("_water") * F.col("weight")), cap.cast("double"))).drop("_left", "_weights", "_level", "_free", "_water")
 
 
-def mix(documents: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 8, key: str = "doc_id") -> DataFrame:
-    """(key, source, size, source_size, target, taken, repeats) of ``documents`` (key, text, source).
+def mix(documents: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 8, key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """(key, source, size, source_size, target, taken, repeats, carry) of ``documents`` (key, text, source, carry).
 
     Weights repeat over the sources in code point order, null last.
     """
+    carry = carry or []
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     order = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 16)
-    rows = materialize(documents.select(F.col(key), "source", size.alias("size"), order.alias("_h")), "mix")
-    return mix_sizes(rows, epochs, weights, key)
+    rows = materialize(documents.select(F.col(key), "source", size.alias("size"), order.alias("_h"), *carry), "mix")
+    return mix_sizes(rows, epochs, weights, key, carry)
 
 
-def mix_sizes(rows: DataFrame, epochs: int, weights: tuple[int, ...], key: str) -> DataFrame:
+def mix_sizes(rows: DataFrame, epochs: int, weights: tuple[int, ...], key: str, carry: list[str]) -> DataFrame:
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     everything = Window.partitionBy()
     sources = sources.withColumn("place", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
@@ -64,7 +65,7 @@ def mix_sizes(rows: DataFrame, epochs: int, weights: tuple[int, ...], key: str)
     known = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     stratum = F.when(F.col("size") >= F.col("mean"), 0).when(F.col("size") >= F.col("mean") / 4, 1).otherwise(2)
     known = known.withColumn("_t", stratum).withColumn("_b", F.substring("_h", 1, -(-bits // 4)) if bits else F.lit(""))
-    known = materialize(prefix_sums(known, ["source", "_t"], "_b", ["_h", key, "size"], "size", "_start"), "mix-order")
+    known = materialize(prefix_sums(known, ["source", "_t"], "_b", ["_h", key, "size", *carry], "size", "_start"), "mix-order")
     budget, owed, in_all = [], F.lit(0.0), F.lit(0)
     middle = F.col("_start") + F.col("size") / 2
     parts = known.groupBy(F.col("source").alias("_source")).agg(*(F.sum(F.when(F.col("_t") == t, F.col("size")).otherwise(0)).alias(f"_s{t}") for t in range(3)), *(F.first(c).alias(c) for c in ("rest", "source_size")))
@@ -82,7 +83,7 @@ def mix_sizes(rows: DataFrame, epochs: int, weights: tuple[int, ...], key: str)
     mine = F.element_at(F.array(*budget), F.col("_t") + 1)
     out = known.join(parts.select("_source", *(f"_b{t}" for t in range(3))), F.col("source").eqNullSafe(F.col("_source")))
     repeats = F.least(F.col("whole") + F.when(middle <= mine, 1).otherwise(0), F.lit(epochs))
-    return out.select(F.col(key), "source", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.cast("int").alias("repeats"))
+    return out.select(F.col(key), "source", "size", "source_size", "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.cast("int").alias("repeats"), *carry)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,3 +128,129 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies by shingle similarity, with the same filter.
+
+#: Bins of a one-permutation MinHash sketch; the share of equal bins estimates Jaccard similarity to about 0.025.
+BINS = 256
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    h = (h ^ MIX[seed]) * MIX[2]
+    h ^= h >> np.uint64(31)
+    h *= MIX[0]
+    return h ^ (h >> np.uint64(29))
+
+
+def word_fingerprint(h: np.ndarray) -> int:
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """One byte for each bin: 0 if no shingle fell there, else from the least hash."""
+    least = np.full(BINS, np.iinfo(np.uint64).max, np.uint64)
+    bins = (h & np.uint64(BINS - 1)).astype(np.int64)
+    np.minimum.at(least, bins, h >> np.uint64(8))
+    out = (least % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    full = np.zeros(BINS, bool)
+    full[bins] = True
+    out[~full] = 0
+    return out.tobytes()
+
+
+def text_marks(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """(key, t1, t2, f0, f1, marks): a text's hash, two fingerprints of its distinct words, and its shingles' sketch."""
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            out: list[list] = [[] for _ in range(5)]
+            for t in batch.column(1).to_pylist():
+                data = (t or "").encode()
+                digest = xxhash.xxh128_digest(data)
+                tokens = data.lower().split()
+                if len(known) > 500_000:
+                    known.clear()
+                for w in set(tokens):
+                    if w not in known:
+                        known[w] = xxhash.xxh64_intdigest(w)
+                h = np.fromiter((known[w] for w in tokens), np.uint64, len(tokens)) if tokens else np.zeros(1, np.uint64)
+                distinct = np.unique(h)
+                n = min(words, len(h))
+                shingles = mixed(h[: len(h) - n + 1].copy(), 0)
+                for j in range(1, n):
+                    shingles = mixed(shingles + h[j : len(h) - n + 1 + j] * MIX[1], 1)
+                values = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), word_fingerprint(mixed(distinct, 0)), word_fingerprint(mixed(distinct, 1)), sketch(shingles))
+                for column, value in zip(out, values):
+                    column.append(value)
+            types = [pa.int64()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, types))], names=["k", "t1", "t2", "f0", "f1", "marks"])
+
+    rows = documents.select(F.col(key), F.col(text).cast("string"))
+    return rows.mapInArrow(run, f"k {rows.schema[0].dataType.simpleString()}, t1 long, t2 long, f0 long, f1 long, marks binary")
+
+
+def similar_pairs(pairs: DataFrame, least: float) -> DataFrame:
+    """The (u, v) of ``pairs`` (u, v, a, b: sketches) with an estimated similarity of at least ``least``."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("a", "b"))
+                used = ((a > 0) | (b > 0)).sum(1)
+                same = ((a == b) & (a > 0)).sum(1)
+                yield batch.select(["u", "v"]).filter(pa.array(same >= least * np.maximum(used, 1)))
+
+    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text", segments: int = 16, chain: int = 6, crowd: int = 64) -> DataFrame:
+    """(key, t1, t2, component): groups of documents whose ``words``-word shingles are similar to ``similarity``.
+
+    The candidates agree on a chain of ``chain`` segments in the ring of one of two 64-bit fingerprints of
+    their distinct words (texts that share four fifths of their five-word shingles differ in about 4 bits
+    of 64), keep twice their share of 8 bits in the longer chains, and are then verified by sketches of
+    all their shingles. Equal texts are one node. In a key with more than ``crowd`` different texts each is
+    compared with the one of the smallest id, and all with each other under keys of longer chains,
+    so a group of near copies costs no more than its size in pairs. component is the smallest key.
+    """
+    rows = materialize(text_marks(documents, key, text, words), "marks")
+    same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("marks").alias("marks"))
+    nodes = materialize(same.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+
+    def keyed(frame: DataFrame, length: int) -> DataFrame:
+        keys = [F.struct(F.lit(f * segments + s).alias("ring"), F.col(f"f{f}").bitwiseAND(F.lit(ring_bits(s, length, segments))).alias("chain")) for f in range(2) for s in range(segments)]
+        return frame.select("uid", "f0", "f1", "least", F.explode(F.array(*keys)).alias("key")).select("uid", "f0", "f1", "least", "key.*")
+
+    ends = []
+    frame, length = nodes, chain
+    while True:
+        keys = keyed(frame, length)
+        counts = keys.groupBy("ring", "chain").agg(F.count("*").alias("n"), F.min(F.struct("least", "uid", "f0", "f1")).alias("hub")).filter("n > 1")
+        shared = materialize(keys.join(counts, ["ring", "chain"]), f"copies-keys{length}")
+        few = shared.filter(F.col("n") <= crowd).select("ring", "chain", "uid", "f0", "f1")
+        other = few.select("ring", "chain", F.col("uid").alias("v"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
+        close = (F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= 10) & (F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) <= 10) & (F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) <= 16)
+        paired = few.join(other, ["ring", "chain"]).filter((F.col("uid") < F.col("v")) & close)
+        ends.append(paired.select(F.col("uid").alias("u"), "v"))
+        many = shared.filter(F.col("n") > crowd)
+        hub = many.select(F.col("uid").alias("u"), F.col("hub.uid").alias("v"), "f0", "f1", F.col("hub.f0").alias("g0"), F.col("hub.f1").alias("g1"))
+        ends.append(hub.filter(F.col("u") != F.col("v")).filter(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        length += 4
+        if length > 14 or not many.head(1):
+            break
+        frame = materialize(nodes.join(many.select("uid").distinct(), "uid", "left_semi"), f"copies-crowd{length}")
+    pairs = ends[0]
+    for e in ends[1:]:
+        pairs = pairs.unionByName(e)
+    marks = nodes.select(F.col("uid").alias("_w"), "marks")
+    found = pairs.distinct().join(marks, F.col("u") == F.col("_w")).withColumnRenamed("marks", "a").drop("_w").join(marks, F.col("v") == F.col("_w")).withColumnRenamed("marks", "b")
+    linked = components(similar_pairs(found, similarity - 0.02))
+    named = nodes.select("uid", "t1", "t2", "least").join(linked, F.col("uid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "uid"))
+    first = named.groupBy(F.col("c").alias("_c")).agg(F.min("least").alias("group"))
+    named = named.join(first, F.col("c") == F.col("_c")).select(F.col("t1").alias("_1"), F.col("t2").alias("_2"), "group")
+    out = rows.select("k", "t1", "t2").join(named, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
+    return out.select(F.col("k").alias(key), "t1", "t2", F.col("group").alias("component"))
