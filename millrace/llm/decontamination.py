@@ -193,7 +193,8 @@ def clean(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """``documents`` without those that hold a copy of a test item."""
     found = contaminated(documents, benchmark, key=key, text=text, **options).select(F.col(key).alias("_k"), F.col("text_md5").alias("_m")).distinct()
     md5 = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    return documents.join(found, F.col(key).eqNullSafe(F.col("_k")) & (md5 == F.col("_m")), "left_anti")
+    rows = documents.select(F.struct("*").alias("_document"), F.col(key).alias("_key"), md5.alias("_md5"))
+    return rows.join(found, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_md5") == F.col("_m")), "left_anti").select("_document.*")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -340,7 +340,6 @@ def render(html: str) -> str:
             if tag == "br":
                 flow.gap, flow.space = flow.gap + 1, False
             elif tag == "table":
-                flow.lines(2)
                 tables.append((Table(), flow))
             elif tag == "tr" and tables:
                 tables[-1][0].rows.append([])
@@ -375,7 +374,7 @@ def render(html: str) -> str:
             details.pop()
         if tag == "table" and tables:
             done, flow = tables.pop()
-            flow.lines(1)
+            flow.lines(2)
             for line in done.layout():
                 flow.exact(line)
                 flow.lines(1)
