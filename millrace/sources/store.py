@@ -5,7 +5,8 @@ number is the table. A statement writes a new data folder and then publishes the
 renaming it into place, which fails if another writer has published that number (optimistic check).
 Readers hold on to the folders of their manifest, so they see one snapshot. A transaction keeps its
 manifests in memory and publishes them at COMMIT; ROLLBACK forgets them. VACUUM compacts the data
-and deletes folders and manifests that no longer count. Data folders are never overwritten.
+and deletes folders and manifests that no longer count. Data folders are never overwritten; UPDATE
+and DELETE rewrite the files that hold a row they change and keep the others.
 """
 
 from __future__ import annotations
@@ -174,10 +175,13 @@ class Store:
         m = self.manifest(table)
         if m.get("dropped"):
             raise StoreError("TABLE_NOT_FOUND", table)
+        return self._rows(table, m["data"])
+
+    def _rows(self, table: str, data: list[str]) -> DataFrame:
         bare = T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema(table)])
-        if not m["data"]:
+        if not data:
             return self.spark.createDataFrame([], bare)
-        return self.spark.read.schema(bare).parquet(*(f"{self.files.root}/{d}" for d in m["data"]))
+        return self.spark.read.schema(bare).parquet(*(f"{self.files.root}/{d}" for d in data))
 
     def _write(self, table: str, df: DataFrame) -> str:
         name = f"{self._database()}/{table.lower()}/data-{uuid.uuid4().hex}"
@@ -246,10 +250,10 @@ class Store:
         m = self.manifest(table)
         df = self._shaped(m, df)
         if any(c.get("auto_increment") for c in m["columns"]):
-            df = self.spark.read.schema(df.schema).parquet(f"{self.files.root}/{(staging := self._write(table, df))}")
+            df = self._stored(staging := self._write(table, df), df)
             df, m["next_id"] = self._numbered(m, df)
         written = self._write(table, df)
-        new = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(f"{self.files.root}/{written}")
+        new = self._stored(written, df)
         try:
             self._check(m, new, self.read(table) if m["data"] and m["unique"] else None)
         except StoreError:
@@ -261,18 +265,35 @@ class Store:
         self._put(table, m)
         return new.count()
 
-    def _replace(self, table: str, manifest: dict, df: DataFrame) -> None:
+    def _stored(self, name: str, like: DataFrame) -> DataFrame:
+        return self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in like.schema])).parquet(f"{self.files.root}/{name}")
+
+    def _replace(self, table: str, manifest: dict, df: DataFrame, kept: list[str] = ()) -> None:
+        """Publish ``df`` in place of all data but ``kept`` folders and files."""
         written = self._write(table, df)
-        new = self.spark.read.schema(T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])).parquet(f"{self.files.root}/{written}")
+        rest = self._rows(table, list(kept)) if kept and manifest["unique"] else None
         try:
-            self._check(manifest, new)
+            self._check(manifest, self._stored(written, df), rest)
         except StoreError:
             self.files.delete(written)
             raise
-        self._put(table, manifest | {"data": [written]})
+        self._put(table, manifest | {"data": [*kept, written]})
+
+    def _touched(self, table: str, manifest: dict, hit) -> tuple[list[str], list[str], int]:
+        """Files with rows that ``hit``, folders and files without, and the number of rows."""
+        found = self.read(table).filter(hit).groupBy(F.col("_metadata.file_path").alias("f")).count().collect()  # a row for each file
+        names = {r["f"].rsplit("/", 2)[-2] + "/" + r["f"].rsplit("/", 1)[1] for r in found}
+        touched, kept = [], []
+        for entry in manifest["data"]:
+            folder = entry if not entry.endswith(".parquet") else entry.rsplit("/", 1)[0]
+            files = [entry] if folder != entry else [f"{entry}/{n}" for n in self.files.list(entry) if n.endswith(".parquet")]
+            hit_here = [f for f in files if f.split("/", 2)[2] in names]
+            touched += hit_here
+            kept += [entry] if not hit_here else [f for f in files if f not in hit_here]
+        return touched, kept, sum(r["count"] for r in found)
 
     def update(self, table: str, values: dict[str, str], where: str | None = None) -> int:
-        """Set columns to SQL expressions over the old row, where the predicate is true."""
+        """Set columns to SQL expressions over the old row, where the predicate is true; only files with such rows are rewritten."""
         m, df = self.manifest(table), self.read(table)
         hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
         names = {f.name.lower(): f for f in df.schema}
@@ -281,17 +302,18 @@ class Store:
                 raise StoreError("COLUMN_NOT_FOUND", c)
         lower = {c.lower(): v for c, v in values.items()}
         out = [F.when(hit, F.expr(lower[f.name.lower()]).cast(f.dataType)).otherwise(F.col(f"`{f.name}`")).alias(f.name) if f.name.lower() in lower else F.col(f"`{f.name}`") for f in df.schema]
-        changed = df.filter(hit).count()
+        touched, kept, changed = self._touched(table, m, hit) if m["data"] else ([], [], 0)
         if changed:
-            self._replace(table, m, df.select(*out))
+            self._replace(table, m, self._rows(table, touched).select(*out), kept)
         return changed
 
     def delete(self, table: str, where: str | None = None) -> int:
-        m, df = self.manifest(table), self.read(table)
+        """Delete rows; only files with such rows are rewritten."""
+        m = self.manifest(table)
         hit = F.coalesce(F.expr(where), F.lit(False)) if where else F.lit(True)
-        gone = df.filter(hit).count()
+        touched, kept, gone = self._touched(table, m, hit) if m["data"] else ([], [], 0)
         if gone:
-            self._replace(table, m, df.filter(~hit))
+            self._replace(table, m, self._rows(table, touched).filter(~hit), kept)
         return gone
 
     def alter(self, table: str, columns: list[dict], select: dict[str, str]) -> None:
@@ -318,7 +340,7 @@ class Store:
         if self.staged is not None:
             raise StoreError("TRANSACTION", "VACUUM cannot run in a transaction")
         m = self.manifest(table)
-        if len(m["data"]) > 1:
+        if len(m["data"]) > 1 or any(d.endswith(".parquet") for d in m["data"]):
             self._replace(table, m, self.read(table))
             m = self.manifest(table)
         base = f"{self._database()}/{table.lower()}"

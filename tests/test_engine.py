@@ -289,3 +289,28 @@ def test_stream_into_table(spark, tmp_path):
     append_stream(store, "s", stream, f"{tmp_path}/ck").awaitTermination()
     append_stream(store, "s", stream, f"{tmp_path}/ck").awaitTermination()
     assert values(store.read("s")) == [(1,), (2,)]
+
+
+def test_updates_rewrite_only_files_with_changed_rows(engine):
+    engine.run_script("CREATE TABLE t (a INT UNIQUE, b INT); INSERT INTO t VALUES (1, 1), (2, 2); INSERT INTO t VALUES (3, 3)")
+    first, second = engine.store.manifest("t")["data"]
+    engine.sql("UPDATE t SET b = 9 WHERE a = 3")
+    kept = engine.store.manifest("t")["data"]
+    assert first in kept and second not in kept and len(kept) == 2
+    with pytest.raises(StoreError):
+        engine.sql("UPDATE t SET a = 1 WHERE a = 3")
+    assert engine.sql("DELETE FROM t WHERE a = 1").rows == 1
+    assert values(engine.sql("SELECT * FROM t")) == [(2, 2), (3, 9)]
+    assert engine.sql("DELETE FROM t").rows == 2 and values(engine.sql("SELECT * FROM t")) == []
+    engine.sql("INSERT INTO t VALUES (1, 5)")
+    engine.sql("VACUUM t")
+    assert values(engine.sql("SELECT * FROM t")) == [(1, 5)]
+
+
+def test_shell(spark, tmp_path, capsys):
+    from millrace.__main__ import main
+
+    (tmp_path / "s.sql").write_text("CREATE DATABASE d; CREATE TABLE t (a INT); INSERT INTO t VALUES (1);")
+    main(f"file://{tmp_path}/store", [f"\\i file://{tmp_path}/s.sql\n", "\\timing\n", "SELECT a\n", "FROM t;\n", "\\dt\n", "SELECT nope FROM t;\n", "\\nope\n", "\\stats\n", "\\q\n"])
+    said = capsys.readouterr().out
+    assert "database d created" in said and "1 rows inserted" in said and " ms" in said and said.count("error:") == 2
