@@ -207,15 +207,16 @@ def similar_pairs(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text", segments: int = 16, chain: int = 6, crowd: int = 64) -> DataFrame:
+def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text", segments: int = 16, chain: int = 6, crowd: int = 16) -> DataFrame:
     """(key, t1, t2, component): groups of documents whose ``words``-word shingles are similar to ``similarity``.
 
     The candidates agree on a chain of ``chain`` segments in the ring of one of two 64-bit fingerprints of
     their distinct words (texts that share four fifths of their five-word shingles differ in about 4 bits
-    of 64), keep twice their share of 8 bits in the longer chains, and are then verified by sketches of
-    all their shingles. Equal texts are one node. In a key with more than ``crowd`` different texts each is
-    compared with the one of the smallest id, and all with each other under keys of longer chains,
-    so a group of near copies costs no more than its size in pairs. component is the smallest key.
+    of 64), differ in at most 9 bits of either and 13 of both, and are then verified by sketches of all
+    their shingles. Equal texts are one node. In a key with more than ``crowd`` different texts each is
+    compared with two of them, the one of the smallest id and one drawn by hash, and all with each other
+    under keys of longer chains, so a group of near copies costs no more than its size in pairs.
+    component is the smallest key.
     """
     rows = materialize(text_marks(documents, key, text, words), "marks")
     same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("marks").alias("marks"))
@@ -225,20 +226,24 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
         keys = [F.struct(F.lit(f * segments + s).alias("ring"), F.col(f"f{f}").bitwiseAND(F.lit(ring_bits(s, length, segments))).alias("chain")) for f in range(2) for s in range(segments)]
         return frame.select("uid", "f0", "f1", "least", F.explode(F.array(*keys)).alias("key")).select("uid", "f0", "f1", "least", "key.*")
 
+    def close(a0: str, a1: str, b0: str, b1: str) -> Column:
+        d0, d1 = F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))), F.bit_count(F.col(a1).bitwiseXOR(F.col(b1)))
+        return (d0 <= 9) & (d1 <= 9) & (d0 + d1 <= 13)
+
     ends = []
     frame, length = nodes, chain
     while True:
         keys = keyed(frame, length)
-        counts = keys.groupBy("ring", "chain").agg(F.count("*").alias("n"), F.min(F.struct("least", "uid", "f0", "f1")).alias("hub")).filter("n > 1")
+        counts = keys.groupBy("ring", "chain").agg(F.count("*").alias("n"), F.min(F.struct("least", "uid", "f0", "f1")).alias("hub"), F.min(F.struct(F.xxhash64("uid"), "uid", "f0", "f1")).alias("hub2")).filter("n > 1")
         shared = materialize(keys.join(counts, ["ring", "chain"]), f"copies-keys{length}")
         few = shared.filter(F.col("n") <= crowd).select("ring", "chain", "uid", "f0", "f1")
         other = few.select("ring", "chain", F.col("uid").alias("v"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-        close = (F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) <= 10) & (F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) <= 10) & (F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1"))) <= 16)
-        paired = few.join(other, ["ring", "chain"]).filter((F.col("uid") < F.col("v")) & close)
+        paired = few.join(other, ["ring", "chain"]).filter((F.col("uid") < F.col("v")) & close("f0", "f1", "g0", "g1"))
         ends.append(paired.select(F.col("uid").alias("u"), "v"))
         many = shared.filter(F.col("n") > crowd)
-        hub = many.select(F.col("uid").alias("u"), F.col("hub.uid").alias("v"), "f0", "f1", F.col("hub.f0").alias("g0"), F.col("hub.f1").alias("g1"))
-        ends.append(hub.filter(F.col("u") != F.col("v")).filter(close).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+        for hub in ("hub", "hub2"):
+            star = many.filter((F.col("uid") != F.col(f"{hub}.uid")) & close("f0", "f1", f"{hub}.f0", f"{hub}.f1"))
+            ends.append(star.select(F.least("uid", F.col(f"{hub}.uid")).alias("u"), F.greatest("uid", F.col(f"{hub}.uid")).alias("v")))
         length += 4
         if length > 14 or not many.head(1):
             break
