@@ -29,8 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders that this process has written.
+WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}")
+    return WRITTEN[-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in WRITTEN:
+        WRITTEN.remove(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all that operators have written; call it when their results have been saved or read."""
+    for path in list(WRITTEN):
+        discard(spark, path)
+    for t in spark.catalog.listTables():
+        if t.name.startswith("millrace_texts_"):
+            spark.sql(f"DROP TABLE {t.name}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize
+from millrace.llm.common import WRITTEN, discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -33,7 +33,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     digest = None
     while True:
+        last = WRITTEN[-1]
         edges = materialize(_star(_star(edges, True), False), "star")
+        discard(edges.sparkSession, last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == digest:
             break
