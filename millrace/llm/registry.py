@@ -15,4 +15,4 @@ QUERIES = {
     "op10_html": html_text.op10_html,
 }
 
-SQL = {"op2_embeddings": embeddings.OP2_SQL, "op4_warc": warc.OP4_SQL, "op7_chat": chat.OP7_SQL, "op8_mixing": mixing.OP8_SQL}
+SQL = {"op1_suffix": suffix_dedup.OP1_SQL, "op2_embeddings": embeddings.OP2_SQL, "op4_warc": warc.OP4_SQL, "op7_chat": chat.OP7_SQL, "op8_mixing": mixing.OP8_SQL}

@@ -513,3 +513,18 @@ def suffix_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text",
 def op1_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(read_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+OP1_SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS MATERIALIZED (SELECT r, p, md5(substr(x, 2 * p + 1, 400)) AS m FROM (SELECT r, x, unnest(range(len(x) // 2 - 199)) AS p FROM d WHERE len(x) >= 400)),
+f AS (SELECT r, p FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+s AS (SELECT r, p, CASE WHEN p <= 200 + lag(p) OVER (PARTITION BY r ORDER BY p) THEN 0 ELSE 1 END AS new FROM f),
+g AS (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS i FROM s),
+i AS (SELECT r, i, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY r, i),
+k AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS e FROM i),
+t AS (SELECT r, sum(b - a) AS gone, count(*) AS n, max(b) AS last, string_agg(substr(x, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS kept FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(x, 2 * last + 1), x))) AS kept_sha256
+FROM d LEFT JOIN t USING (r)
+"""
