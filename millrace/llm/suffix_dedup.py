@@ -25,6 +25,8 @@ collision the table is made again with another seed.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import uuid
 
@@ -206,6 +208,20 @@ def _equal_bytes(differ: np.ndarray, guess: np.ndarray) -> np.ndarray:
     return out + wrong
 
 
+def trimmed(work):
+    """``work`` over batches, after which the Python worker gives free memory back to the system."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 class Shard:
     """Segments of windows and their suffix array; ``repeated`` flags each segment's windows."""
 
@@ -353,9 +369,9 @@ def shared_runs(classes: DataFrame) -> DataFrame:
     def _rows(x, keep):
         return pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in ("tk", "h", "run")], names=["tk", "h", "run"])
 
-    rows = classes.filter(F.octet_length("text") >= WIDTH).select("tk", "text").mapInArrow(runs, "part long, tk long, h long, run long, rep byte")
+    rows = classes.filter(F.octet_length("text") >= WIDTH).select("tk", "text").mapInArrow(trimmed(runs), "part long, tk long, h long, run long, rep byte")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "part").sortWithinPartitions("part", F.desc("rep")).mapInArrow(shared, "tk long, h long, run long")
+    return rows.repartition(parts, "part").sortWithinPartitions("part", F.desc("rep")).mapInArrow(trimmed(shared), "tk long, h long, run long")
 
 
 def cut_segments(classes: DataFrame, runs: DataFrame, chunk_bytes: int = 32 << 20) -> DataFrame:
@@ -406,7 +422,7 @@ def cut_segments(classes: DataFrame, runs: DataFrame, chunk_bytes: int = 32 << 2
 
     lists = runs.groupBy("tk").agg(F.collect_list(F.struct("h", "run")).alias("runs"))  # at most one for each byte of the text
     joined = classes.join(lists, "tk").select("tk", "n", "text", "runs")
-    return materialize(joined.mapInArrow(cut, "tk long, run long, s1 long, s2 long, h long, n long, windows int, seg binary"), "segments")
+    return materialize(joined.mapInArrow(trimmed(cut), "tk long, run long, s1 long, s2 long, h long, n long, windows int, seg binary"), "segments")
 
 
 def repeated_ranges(segments: DataFrame, shard_bytes: int = 1 << 21) -> DataFrame:
@@ -455,7 +471,7 @@ def repeated_ranges(segments: DataFrame, shard_bytes: int = 1 << 21) -> DataFram
 
     parts = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = segments.filter("seg is not null").select("h", "s1", "s2", "n", "windows", "seg").repartition(parts, "h").sortWithinPartitions("h")
-    return rows.mapInArrow(resolve, "s1 long, s2 long, ranges array<int>")
+    return rows.mapInArrow(trimmed(resolve), "s1 long, s2 long, ranges array<int>")
 
 
 def remove_repeats(classes: DataFrame, with_text: bool = True) -> DataFrame:
@@ -490,7 +506,7 @@ def remove_repeats(classes: DataFrame, with_text: bool = True) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("tk"), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["tk", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     joined = classes.join(spans, "tk", "left").select("tk", "n", "text", "spans")
-    return joined.mapInArrow(apply, "tk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.mapInArrow(trimmed(apply), "tk long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def suffix_dedup(documents: DataFrame, key: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
