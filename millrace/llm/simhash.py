@@ -130,10 +130,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle similarity, with the same filter.
+# Near copies by shingle similarity.
 
 #: Bins of a one-permutation MinHash sketch; the share of equal bins estimates Jaccard similarity to about 0.025.
 BINS = 256
+#: How far below the similarity asked for an estimate may be.
+MARGIN = 0.02
+#: Texts of one side of a cell, in which the texts of a crowded key are compared.
+SIDE = 256
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
@@ -144,9 +148,19 @@ def mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_fingerprint(h: np.ndarray) -> int:
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])
+def shingle_hashes(tokens: list[bytes], words: int, known: dict[bytes, int]) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; ``known`` remembers hashes of words."""
+    if len(known) > 500_000:
+        known.clear()
+    for w in set(tokens):
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    h = np.fromiter((known[w] for w in tokens), np.uint64, len(tokens)) if tokens else np.zeros(1, np.uint64)
+    n = min(words, len(h))
+    shingles = mixed(h[: len(h) - n + 1].copy(), 0)
+    for j in range(1, n):
+        shingles = mixed(shingles + h[j : len(h) - n + 1 + j] * MIX[1], 1)
+    return np.unique(shingles)
 
 
 def sketch(h: np.ndarray) -> bytes:
@@ -161,8 +175,19 @@ def sketch(h: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def ring_keys(h: np.ndarray) -> list[int]:
+    """The chains of 6 of 16 segments in the rings of two fingerprints of a text's distinct words."""
+    prints = [word_fingerprint(mixed(h, f)) for f in range(2)]
+    return [p & ring_bits(s, 6, 16) for p in prints for s in range(16)]
+
+
+def word_fingerprint(h: np.ndarray) -> int:
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(h), bitorder="little").view(np.int64)[0])
+
+
 def text_marks(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, t1, t2, f0, f1, marks): a text's hash, two fingerprints of its distinct words, and its shingles' sketch."""
+    """(key, t1, t2, n, bands, marks): a text's hashes, and the number, keys and sketch of its distinct shingles."""
 
     def run(batches):
         known: dict[bytes, int] = {}
@@ -172,25 +197,16 @@ def text_marks(documents: DataFrame, key: str, text: str, words: int) -> DataFra
                 data = (t or "").encode()
                 digest = xxhash.xxh128_digest(data)
                 tokens = data.lower().split()
-                if len(known) > 500_000:
-                    known.clear()
-                for w in set(tokens):
-                    if w not in known:
-                        known[w] = xxhash.xxh64_intdigest(w)
-                h = np.fromiter((known[w] for w in tokens), np.uint64, len(tokens)) if tokens else np.zeros(1, np.uint64)
-                distinct = np.unique(h)
-                n = min(words, len(h))
-                shingles = mixed(h[: len(h) - n + 1].copy(), 0)
-                for j in range(1, n):
-                    shingles = mixed(shingles + h[j : len(h) - n + 1 + j] * MIX[1], 1)
-                values = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), word_fingerprint(mixed(distinct, 0)), word_fingerprint(mixed(distinct, 1)), sketch(shingles))
+                h = shingle_hashes(tokens, words, known)
+                distinct = np.unique(np.array([known[w] for w in set(tokens)] or [0], np.uint64))
+                values = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), len(h), ring_keys(distinct), sketch(h))
                 for column, value in zip(out, values):
                     column.append(value)
-            types = [pa.int64()] * 4 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, types))], names=["k", "t1", "t2", "f0", "f1", "marks"])
+            types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, types))], names=["k", "t1", "t2", "n", "bands", "marks"])
 
     rows = documents.select(F.col(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"k {rows.schema[0].dataType.simpleString()}, t1 long, t2 long, f0 long, f1 long, marks binary")
+    return rows.mapInArrow(run, f"k {rows.schema[0].dataType.simpleString()}, t1 long, t2 long, n long, bands array<long>, marks binary")
 
 
 def similar_pairs(pairs: DataFrame, least: float) -> DataFrame:
@@ -207,53 +223,82 @@ def similar_pairs(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text", segments: int = 16, chain: int = 6, crowd: int = 16) -> DataFrame:
+def crowded_pairs(left: DataFrame, similarity: float, best: bool) -> DataFrame:
+    """Pairs (u, v) of texts of different components in the crowded keys ``left`` (band, value, members, uid, n, c, marks)
+    that can be similar by size and sketch; if ``best``, for each text and component in a cell the likeliest only.
+
+    The texts of a key are dealt to blocks of about ``SIDE``, and each two blocks meet in a cell, so no task
+    holds a whole key and every pair is seen.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        uid, n, c, own = (table[x].to_numpy() for x in ("uid", "n", "c", "own"))
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, BINS)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        others = np.flatnonzero(own == j)
+        for r in np.flatnonzero(own == i):
+            o = others[(c[others] != c[r]) & (np.minimum(n[others], n[r]) / np.maximum(n[others], n[r]) >= similarity) & ((i != j) | (uid[others] > uid[r]))]
+            if not len(o):
+                continue
+            used = ((marks[o] > 0) | (marks[r] > 0)).sum(1)
+            share = ((marks[o] == marks[r]) & (marks[o] > 0)).sum(1) / np.maximum(used, 1)
+            near = share >= similarity - MARGIN
+            o, share = o[near], share[near]
+            if best and len(o):
+                o = o[np.argsort(-share, kind="stable")]
+                o = o[np.unique(c[o], return_index=True)[1]]
+            found.append((np.full(len(o), uid[r]), uid[o]))
+        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+
+    blocks = F.ceil(F.col("members") / SIDE)
+    dealt = left.withColumn("own", F.pmod(F.xxhash64("uid"), blocks)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("band", "value", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "uid", "n", "c", "marks")
+    return dealt.groupBy("band", "value", "i", "j").applyInArrow(run, "u long, v long").distinct()
+
+
+def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text", crowd: int = 16) -> DataFrame:
     """(key, t1, t2, component): groups of documents whose ``words``-word shingles are similar to ``similarity``.
 
-    The candidates agree on a chain of ``chain`` segments in the ring of one of two 64-bit fingerprints of
-    their distinct words (texts that share four fifths of their five-word shingles differ in about 4 bits
-    of 64), differ in at most 9 bits of either and 13 of both, and are then verified by sketches of all
-    their shingles. Equal texts are one node. In a key with more than ``crowd`` different texts each is
-    compared with two of them, the one of the smallest id and one drawn by hash, and all with each other
-    under keys of longer chains, so a group of near copies costs no more than its size in pairs.
-    component is the smallest key.
+    Candidates share a key: a chain of segments in the ring of one of two fingerprints of their distinct words. They are
+    linked if sketches of all their shingles agree. Equal texts are one node. In a key with more than
+    ``crowd`` different texts each is first compared with two of them, the one of the smallest uid and one drawn by
+    hash. In the keys whose texts are then not all in one component, all pairs of different components
+    are compared, first the likeliest ones. So a group of near copies around a hub costs no more than its size
+    in pairs, and no key drops a pair. component is the smallest key.
     """
     rows = materialize(text_marks(documents, key, text, words), "marks")
-    same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), F.first("f0").alias("f0"), F.first("f1").alias("f1"), F.first("marks").alias("marks"))
+    same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), *(F.first(c).alias(c) for c in ("n", "bands", "marks")))
     nodes = materialize(same.withColumn("uid", F.monotonically_increasing_id()), "nodes")
-
-    def keyed(frame: DataFrame, length: int) -> DataFrame:
-        keys = [F.struct(F.lit(f * segments + s).alias("ring"), F.col(f"f{f}").bitwiseAND(F.lit(ring_bits(s, length, segments))).alias("chain")) for f in range(2) for s in range(segments)]
-        return frame.select("uid", "f0", "f1", "least", F.explode(F.array(*keys)).alias("key")).select("uid", "f0", "f1", "least", "key.*")
-
-    def close(a0: str, a1: str, b0: str, b1: str) -> Column:
-        d0, d1 = F.bit_count(F.col(a0).bitwiseXOR(F.col(b0))), F.bit_count(F.col(a1).bitwiseXOR(F.col(b1)))
-        return (d0 <= 9) & (d1 <= 9) & (d0 + d1 <= 13)
-
-    ends = []
-    frame, length = nodes, chain
-    while True:
-        keys = keyed(frame, length)
-        counts = keys.groupBy("ring", "chain").agg(F.count("*").alias("n"), F.min(F.struct("least", "uid", "f0", "f1")).alias("hub"), F.min(F.struct(F.xxhash64("uid"), "uid", "f0", "f1")).alias("hub2")).filter("n > 1")
-        shared = materialize(keys.join(counts, ["ring", "chain"]), f"copies-keys{length}")
-        few = shared.filter(F.col("n") <= crowd).select("ring", "chain", "uid", "f0", "f1")
-        other = few.select("ring", "chain", F.col("uid").alias("v"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-        paired = few.join(other, ["ring", "chain"]).filter((F.col("uid") < F.col("v")) & close("f0", "f1", "g0", "g1"))
-        ends.append(paired.select(F.col("uid").alias("u"), "v"))
-        many = shared.filter(F.col("n") > crowd)
-        for hub in ("hub", "hub2"):
-            star = many.filter((F.col("uid") != F.col(f"{hub}.uid")) & close("f0", "f1", f"{hub}.f0", f"{hub}.f1"))
-            ends.append(star.select(F.least("uid", F.col(f"{hub}.uid")).alias("u"), F.greatest("uid", F.col(f"{hub}.uid")).alias("v")))
-        length += 4
-        if length > 14 or not many.head(1):
-            break
-        frame = materialize(nodes.join(many.select("uid").distinct(), "uid", "left_semi"), f"copies-crowd{length}")
-    pairs = ends[0]
-    for e in ends[1:]:
-        pairs = pairs.unionByName(e)
     marks = nodes.select(F.col("uid").alias("_w"), "marks")
+
+    keys = nodes.select("uid", "n", F.posexplode("bands").alias("band", "value"))
+    counts = keys.groupBy("band", "value").agg(F.count("*").alias("members"), F.min(F.struct("uid", "n")).alias("hub"), F.min(F.struct(F.xxhash64("uid"), "uid", "n")).alias("hub2")).filter("members > 1")
+    shared = materialize(keys.join(counts, ["band", "value"]), "copies-keys")
+    sizes = lambda a, b: F.least(a, b) / F.greatest(a, b) >= similarity
+    few = shared.filter(F.col("members") <= crowd).select("band", "value", "uid", "n")
+    other = few.select("band", "value", F.col("uid").alias("v"), F.col("n").alias("m"))
+    pairs = few.join(other, ["band", "value"]).filter((F.col("uid") < F.col("v")) & sizes("n", "m")).select(F.col("uid").alias("u"), "v")
+    many = shared.filter(F.col("members") > crowd)
+    for hub in ("hub", "hub2"):
+        star = many.filter((F.col("uid") != F.col(f"{hub}.uid")) & sizes("n", f"{hub}.n"))
+        pairs = pairs.unionByName(star.select(F.least("uid", F.col(f"{hub}.uid")).alias("u"), F.greatest("uid", F.col(f"{hub}.uid")).alias("v")))
     found = pairs.distinct().join(marks, F.col("u") == F.col("_w")).withColumnRenamed("marks", "a").drop("_w").join(marks, F.col("v") == F.col("_w")).withColumnRenamed("marks", "b")
-    linked = components(similar_pairs(found, similarity - 0.02))
+    links = materialize(similar_pairs(found, similarity - MARGIN), "copies-pairs")
+    linked = components(links)
+
+    many = many.select("band", "value", "members", "uid", "n")
+    for best in (True, False):
+        placed = many.join(linked, F.col("uid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "uid")).drop("node", "component")
+        open_keys = placed.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band", "value")
+        left = placed.join(open_keys, ["band", "value"]).join(marks, F.col("uid") == F.col("_w")).drop("_w")
+        likely = materialize(crowded_pairs(left, similarity, best), "copies-crowd")
+        if not likely.head(1):
+            break
+        links = materialize(links.unionByName(likely), "copies-links")
+        linked = components(links)
+
     named = nodes.select("uid", "t1", "t2", "least").join(linked, F.col("uid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "uid"))
     first = named.groupBy(F.col("c").alias("_c")).agg(F.min("least").alias("group"))
     named = named.join(first, F.col("c") == F.col("_c")).select(F.col("t1").alias("_1"), F.col("t2").alias("_2"), "group")

@@ -174,6 +174,21 @@ def test_near_copies_by_shingles(spark):
     assert len(set(found.values())) == 26
 
 
+def test_near_copies_of_one_vocabulary(spark):
+    """Orderings of one text's blocks share all words; each has one near copy."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(240)]
+    blocks = [words[i : i + 6] for i in range(0, len(words), 6)]
+    rows = []
+    for i in range(60):
+        order = [w for b in rng.sample(blocks, len(blocks)) for w in b]
+        edited = list(order)
+        edited[120] = "changed"
+        rows += [(i, " ".join(order)), (100 + i, " ".join(edited))]
+    found = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(found[i] == found[100 + i] == i for i in range(60))
+
+
 def test_components_of_a_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     hub = [(5, i) for i in range(200, 300)]
