@@ -174,6 +174,11 @@ def test_near_copies_by_shingles(spark):
     assert len(set(found.values())) == 26
 
 
+def shingle_similarity(a, b, words=5):
+    a, b = ({tuple(w[i : i + words]) for i in range(len(w) - words + 1)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
 def test_near_copies_of_one_vocabulary(spark):
     """Orderings of one text's blocks share all words; each has one near copy."""
     rng = random.Random(4)
@@ -189,6 +194,32 @@ def test_near_copies_of_one_vocabulary(spark):
     assert all(found[i] == found[100 + i] == i for i in range(60))
 
 
+@pytest.mark.parametrize("kind", ["replaced", "appended", "deleted"])
+def test_near_copies_above_the_limit(spark, kind):
+    """No pair just above the similarity is lost, by any kind of edit."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = []
+    for i in range(120):
+        base = [word() for _ in range(400)]
+        edited = list(base)
+        while True:
+            further = list(edited)
+            if kind == "replaced":
+                further[rng.randrange(400)] = word()
+            elif kind == "appended":
+                further.append(word())
+            else:
+                further = base[: len(edited) - 1]
+            if shingle_similarity(" ".join(base), " ".join(further)) < 0.8:
+                break
+            edited = further
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(edited))]
+    found = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact = [(i, 1000 + i) for i in range(120) if shingle_similarity(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8]
+    assert len(exact) == 120 and all(found[a] == found[b] for a, b in exact)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     hub = [(5, i) for i in range(200, 300)]
