@@ -134,8 +134,8 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Bins of a one-permutation MinHash sketch; the share of equal bins estimates Jaccard similarity to about 0.025.
 BINS = 256
-#: How far below the similarity asked for an estimate may be.
-MARGIN = 0.02
+#: How far below the similarity asked for an estimate may be (six standard deviations) for a pair to be compared exactly.
+MARGIN = 0.15
 #: Keys of a text, and MinHash minima that one key combines: texts of similarity s share no key with chance (1 - s^4)^24, 3e-6 at 0.8.
 BANDS, BAND = 24, 4
 #: Texts of one side of a cell, in which the texts of a crowded key are compared.
@@ -191,13 +191,13 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def text_marks(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, t1, t2, n, bands, marks): a text's hashes, and the number, keys and sketch of its distinct shingles."""
+    """(key, x, t1, t2, n, bands, marks): a text's hashes, and the number, keys and sketch of its distinct shingles."""
 
     def run(batches):
         known: dict[bytes, int] = {}
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 data = (t or "").encode()
                 digest = xxhash.xxh128_digest(data)
                 h = shingle_hashes(data.lower().split(), words, known)
@@ -205,10 +205,30 @@ def text_marks(documents: DataFrame, key: str, text: str, words: int) -> DataFra
                 for column, value in zip(out, values):
                     column.append(value)
             types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, types))], names=["k", "t1", "t2", "n", "bands", "marks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, types))], names=["k", "x", "t1", "t2", "n", "bands", "marks"])
 
-    rows = documents.select(F.col(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"k {rows.schema[0].dataType.simpleString()}, t1 long, t2 long, n long, bands array<long>, marks binary")
+    rows = documents.select(F.col(key), text_hash(text), F.col(text).cast("string"))
+    return rows.mapInArrow(run, f"k {rows.schema[0].dataType.simpleString()}, x long, t1 long, t2 long, n long, bands array<long>, marks binary")
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("x")
+
+
+def shingle_sets(documents: DataFrame, wanted: DataFrame, text: str, words: int) -> DataFrame:
+    """(uid, shingles) of the texts ``wanted`` (uid, x)."""
+
+    def run(batches):
+        known: dict[bytes, int] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_hashes((t or "").encode().lower().split(), words, known) for t in part.column(1).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["uid", "shingles"])
+
+    texts = documents.select(text_hash(text), F.col(text).cast("string").alias("text")).join(wanted.withColumnRenamed("x", "_x"), F.col("x") == F.col("_x"))
+    return texts.select("uid", "text").dropDuplicates(["uid"]).mapInArrow(run, "uid long, shingles array<long>")
 
 
 def similar_pairs(pairs: DataFrame, least: float) -> DataFrame:
@@ -225,6 +245,18 @@ def similar_pairs(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def exact_pairs(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int, text: str) -> DataFrame:
+    """The ``pairs`` (u, v) of ``nodes`` whose whole sets of shingles have a Jaccard similarity of at least ``similarity``."""
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("end")).distinct()
+    wanted = nodes.join(ends, F.col("uid") == F.col("end"), "left_semi").select("uid", "x")
+    sets = materialize(shingle_sets(documents, wanted, text, words), "copies-sets")
+    a = sets.select(F.col("uid").alias("_a"), F.col("shingles").alias("a"))
+    b = sets.select(F.col("uid").alias("_b"), F.col("shingles").alias("b"))
+    both = pairs.join(a, F.col("u") == F.col("_a")).join(b, F.col("v") == F.col("_b"))
+    both = both.select("u", "v", (F.size("a") + F.size("b")).alias("sizes"), F.size(F.array_intersect("a", "b")).alias("shared"))
+    return both.filter(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("u", "v")
+
+
 def crowded_pairs(left: DataFrame, similarity: float, best: bool) -> DataFrame:
     """Pairs (u, v) of texts of different components in the crowded keys ``left`` (band, value, members, uid, n, c, marks)
     that can be similar by size and sketch; if ``best``, for each text and component in a cell the likeliest only.
@@ -264,14 +296,15 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
     """(key, t1, t2, component): groups of documents whose ``words``-word shingles are similar to ``similarity``.
 
     Candidates share a key: ``BAND`` MinHash minima of all their shingles, in one of ``BANDS`` bands. They are
-    linked if sketches of all their shingles agree. Equal texts are one node. In a key with more than
+    linked if the Jaccard similarity of their whole sets of shingles is at least ``similarity``; sizes and
+    sketches only spare comparisons that can't reach it. Equal texts are one node. In a key with more than
     ``crowd`` different texts each is first compared with two of them, the one of the smallest uid and one drawn by
     hash. In the keys whose texts are then not all in one component, all pairs of different components
     are compared, first the likeliest ones. So a group of near copies around a hub costs no more than its size
     in pairs, and no key drops a pair. component is the smallest key.
     """
     rows = materialize(text_marks(documents, key, text, words), "marks")
-    same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), *(F.first(c).alias(c) for c in ("n", "bands", "marks")))
+    same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), *(F.first(c).alias(c) for c in ("x", "n", "bands", "marks")))
     nodes = materialize(same.withColumn("uid", F.monotonically_increasing_id()), "nodes")
     marks = nodes.select(F.col("uid").alias("_w"), "marks")
 
@@ -287,7 +320,8 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
         star = many.filter((F.col("uid") != F.col(f"{hub}.uid")) & sizes("n", f"{hub}.n"))
         pairs = pairs.unionByName(star.select(F.least("uid", F.col(f"{hub}.uid")).alias("u"), F.greatest("uid", F.col(f"{hub}.uid")).alias("v")))
     found = pairs.distinct().join(marks, F.col("u") == F.col("_w")).withColumnRenamed("marks", "a").drop("_w").join(marks, F.col("v") == F.col("_w")).withColumnRenamed("marks", "b")
-    links = materialize(similar_pairs(found, similarity - MARGIN), "copies-pairs")
+    likely = materialize(similar_pairs(found, similarity - MARGIN), "copies-pairs")
+    links = materialize(exact_pairs(documents, nodes, likely, similarity, words, text), "copies-links")
     linked = components(links)
 
     many = many.select("band", "value", "members", "uid", "n")
@@ -298,7 +332,7 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
         likely = materialize(crowded_pairs(left, similarity, best), "copies-crowd")
         if not likely.head(1):
             break
-        links = materialize(links.unionByName(likely), "copies-links")
+        links = materialize(links.unionByName(exact_pairs(documents, nodes, likely, similarity, words, text)), "copies-links")
         linked = components(links)
 
     named = nodes.select("uid", "t1", "t2", "least").join(linked, F.col("uid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "uid"))

@@ -179,6 +179,11 @@ def shingle_similarity(a, b, words=5):
     return len(a & b) / len(a | b)
 
 
+def same_component(found, exact):
+    roots = union(list(found), exact)
+    return {frozenset(k for k in found if found[k] == c) for c in found.values()} == {frozenset(k for k in roots if roots[k] == c) for c in roots.values()}
+
+
 def test_near_copies_of_one_vocabulary(spark):
     """Orderings of one text's blocks share all words; each has one near copy."""
     rng = random.Random(4)
@@ -194,6 +199,22 @@ def test_near_copies_of_one_vocabulary(spark):
     assert all(found[i] == found[100 + i] == i for i in range(60))
 
 
+def test_near_copies_in_crowded_keys(spark):
+    """Texts of one template share keys and hubs but only their own near copies are linked."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    template = [word() for _ in range(150)]
+    rows = []
+    for i in range(40):
+        own = template + [word() for _ in range(50)]
+        edited = list(own)
+        edited[180] = "changed"
+        rows += [(i, " ".join(own)), (100 + i, " ".join(edited))]
+    found = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), crowd=4).collect()}
+    exact = [(a, b) for a, s in rows for b, t in rows if a < b and shingle_similarity(s, t) >= 0.8]
+    assert len(exact) >= 40 and same_component(found, exact)
+
+
 @pytest.mark.parametrize("kind", ["replaced", "appended", "deleted"])
 def test_near_copies_above_the_limit(spark, kind):
     """No pair just above the similarity is lost, by any kind of edit."""
@@ -220,6 +241,33 @@ def test_near_copies_above_the_limit(spark, kind):
     assert len(exact) == 120 and all(found[a] == found[b] for a, b in exact)
 
 
+@pytest.mark.parametrize("kind", ["replaced", "appended", "deleted"])
+def test_near_copies_at_the_limit(spark, kind):
+    """Pairs just above and below the similarity are told apart, by every kind of edit."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    rows = []
+    for i in range(120):
+        base = [word() for _ in range(400)]
+        edited = list(base)
+        least = 0.8 if i % 2 else 0.77
+        while True:
+            further = list(edited)
+            if kind == "replaced":
+                further[rng.randrange(400)] = word()
+            elif kind == "appended":
+                further.append(word())
+            else:
+                further = base[: len(edited) - 1]
+            if shingle_similarity(" ".join(base), " ".join(further)) < least:
+                break
+            edited = further
+        rows += [(i, " ".join(base)), (1000 + i, " ".join(edited))]
+    found = {r["doc_id"]: r["component"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact = [(i, 1000 + i) for i in range(120) if shingle_similarity(rows[2 * i][1], rows[2 * i + 1][1]) >= 0.8]
+    assert 60 <= len(exact) < 120 and same_component(found, exact)
+
+
 def test_components_of_a_path_and_a_hub(spark):
     path = [(i, i + 1) for i in range(100, 160)]
     hub = [(5, i) for i in range(200, 300)]
