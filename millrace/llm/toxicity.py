@@ -6,7 +6,7 @@ odds). While training, those are out-of-fold predictions, made by models that di
 later models learn how far earlier ones can be trusted; while scoring they come from the full models.
 
 Training reads a bounded sample: the ``sample_rows`` labelled documents with the smallest hash of their
-id, texts that begin alike once. Features are counted over it in Spark, for all rows and without each
+id, equal texts once and those that begin alike in one fold. Features are counted over it in Spark, for all rows and without each
 fold, and at most ``n_features`` a category that tell positive from negative rows (two-proportion z) are
 fetched. Scoring reads every document whole, in Arrow batches.
 
@@ -121,18 +121,18 @@ def fit_chain(documents: DataFrame, labels: DataFrame, categories: list[str], sa
     drawn = drawn.withColumn("_o", F.xxhash64(F.col(key), F.lit("sample"))).orderBy("_o", key, *(f"_y{i}" for i in range(len(categories)))).limit(sample_rows)
     rows = documents.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(drawn), key)
     beginning = F.md5(F.lower(F.substring("_text", 1, 200)))
-    once = rows.withColumn("_k", F.coalesce(beginning, F.lit("")))
+    once = rows.withColumn("_k", F.coalesce(F.md5("_text"), F.lit(""))).withColumn("_b", F.coalesce(beginning, F.lit("")))
     ys = [f"_y{i}" for i in range(len(categories))]
 
     def features(batches):
         memo = Memo()
         for batch in batches:
             found = [sorted(text_features(t, memo)) for t in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_k", "_o", *ys)), pa.array(found, pa.list_(pa.int64()))], names=["_k", "_o", *ys, "f"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_k", "_b", "_o", *ys)), pa.array(found, pa.list_(pa.int64()))], names=["_k", "_b", "_o", *ys, "f"])
 
-    shape = T.StructType([T.StructField("_k", T.StringType()), T.StructField("_o", T.LongType()), *(T.StructField(y, T.IntegerType()) for y in ys), T.StructField("f", T.ArrayType(T.LongType()))])
-    once = once.groupBy("_k").agg(F.min(F.struct("_o", "_text", *ys)).alias("s")).select("_k", "s.*")
-    rows = materialize(once.mapInArrow(features, shape).withColumn("fold", F.pmod(F.xxhash64("_k"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    shape = T.StructType([T.StructField("_k", T.StringType()), T.StructField("_b", T.StringType()), T.StructField("_o", T.LongType()), *(T.StructField(y, T.IntegerType()) for y in ys), T.StructField("f", T.ArrayType(T.LongType()))])
+    once = once.groupBy("_k").agg(F.min(F.struct("_o", "_b", "_text", *ys)).alias("s")).select("_k", "s.*")
+    rows = materialize(once.mapInArrow(features, shape).withColumn("fold", F.pmod(F.xxhash64("_b"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
     seen = rows.select("fold", *ys, F.explode("f").alias("h"))
     labelled = rows.groupBy("fold").agg(*(F.sum(F.when(F.col(y) == v, 1).otherwise(0)).alias(f"{y}{v}") for y in ys for v in (0, 1))).collect()
     size = {(y, v, k): sum(r[f"{y}{v}"] for r in labelled if r["fold"] != k) for y in ys for v in (0, 1) for k in (None, *range(FOLDS))}

@@ -154,6 +154,16 @@ def test_toxicity_chain_on_held_out_rows(spark):
     assert found[5000]["p_toxic"] < 0.5 and found[5000]["p_toxic"] == found[5001]["p_toxic"]
 
 
+def test_toxicity_of_texts_with_one_header(spark):
+    """Labelled texts that share their first 200 characters and differ later all count."""
+    docs, labels = toxic_corpus(2, 900)
+    header = "licensed under the terms of the file at the root of this repository " * 4
+    df = spark.createDataFrame([(i, header + t) for i, t in docs], "doc_id long, text string")
+    train = spark.createDataFrame([(i, a) for i, a, _, _ in labels[:600]], "doc_id long, insult int")
+    found = {r["doc_id"]: r["p_insult"] for r in toxicity.score(df, toxicity.fit_chain(df, train, ["insult"])).collect()}
+    assert sum((found[i] >= 0.5) == bool(y) for i, y, *_ in labels[600:]) >= 0.97 * 300
+
+
 def test_toxicity_without_examples(spark):
     docs, labels = toxic_corpus(2, 30)
     df = spark.createDataFrame(docs, "doc_id long, text string")
