@@ -6,9 +6,10 @@ document order as open, text and close events. A renderer walks the events: it s
 collapses white space outside ``pre``, puts line breaks around blocks and a blank line around
 paragraphs, numbers or dashes list items, and lays table cells out in aligned columns.
 
-Not shown: head, scripts, styles, templates, noscript and the like; elements with ``hidden``, an inline
+Not shown: head, scripts, styles, templates, noscript and the like, titles and definitions of SVG and annotations
+of MathML, inputs but for the captions of buttons; elements with ``hidden``, an inline
 ``display:none`` or ``visibility:hidden`` (which a descendant may lift with ``visible``), those a style
-sheet of the page hides by a plain ``tag``, ``.class`` or ``#id`` rule, closed details, closed dialogs.
+sheet of the page hides on a screen by a plain ``tag``, ``.class`` or ``#id`` rule, closed details, closed dialogs.
 
 Neither uses recursion, so depth is no limit; work is in proportion to the page's length, and columns
 above ``ALIGN`` characters aren't padded. Cases: null html gives null, an empty page an empty text; rows
@@ -31,7 +32,11 @@ from millrace.llm.common import read_table
 # elements that end an open paragraph, elements laid out as blocks, and those with a blank line around.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist rp meta link base".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist rp meta link base".split())
+#: Elements that SVG and MathML never show, and the types of input that show their value as a caption.
+FOREIGN = frozenset("svg math".split())
+UNSEEN_FOREIGN = frozenset("title desc defs metadata symbol annotation annotation-xml".split())
+CAPTIONED = frozenset("button submit reset".split())
 HEAD_ONLY = frozenset("html head title meta link base script style template noscript".split())
 ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li listing main menu nav ol p pre search section summary table ul xmp".split())
 BLOCK = ENDS_P | frozenset("body html caption legend optgroup option".split())
@@ -56,7 +61,11 @@ IMPLIED = {
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+|[\"'])*+)>")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
 SPACE = re.compile(r"[ \t\n\r\f]+")
-RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+SHEET = re.compile(r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[{};]", re.S)
+#: A media query of a screen and of widths in pixels; its width is taken as ``SCREEN``.
+MEDIA = re.compile(r"(?:only\s+)?(?:(all|screen)(?:\s+and\s+(?=\())?)?((?:\(\s*(?:min|max)-width\s*:\s*[\d.]+px\s*\)(?:\s+and\s+(?=\())?)*)", re.I)
+WIDTH = re.compile(r"(min|max)-width\s*:\s*([\d.]+)px", re.I)
+SCREEN = 1280
 HIDES = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 ALIGN = 40
@@ -178,7 +187,7 @@ def tree(html: str):
             close_top()
         attrs = attributes(m[3])
         open_tag(tag, attrs)
-        if tag in VOID:
+        if tag in VOID or m[3].endswith("/") and (count["svg"] or count["math"] or tag in FOREIGN):
             close_top()
         elif tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
@@ -283,12 +292,47 @@ def number(value: str | None, least: int, most: int) -> int:
     return max(least, min(most, int(value))) if value and value.strip().isdecimal() and len(value) < 9 else least
 
 
+def on_screen(media: str) -> bool:
+    """True if a list of media queries applies to a screen; queries of anything but type and width don't."""
+    for query in media.split(","):
+        m = MEDIA.fullmatch(query.strip())
+        if m and all((SCREEN >= float(w)) == (side.lower() == "min") or SCREEN == float(w) for side, w in WIDTH.findall(m[2])):
+            return True
+    return False
+
+
+def plain_rules(sheet: str) -> list[tuple[str, str]]:
+    """The (selectors, body) of a style sheet's rules that apply to a screen: at the top, in ``@media`` and in ``@layer``."""
+    out: list[tuple[str, str]] = []
+    open_blocks: list[tuple[str, bool]] = []  # what stands before the brace, and whether rules inside count
+    at = 0
+    sheet = re.sub(r"/\*.*?\*/", "", sheet, flags=re.S)
+    for m in SHEET.finditer(sheet):
+        mark = m[0]
+        if mark == "{":
+            name = sheet[at : m.start()].strip()
+            counts = not open_blocks or open_blocks[-1][1] and open_blocks[-1][0].startswith("@")
+            if name.startswith("@"):
+                kind, _, rest = name.replace("(", " (", 1).partition(" ")
+                counts = counts and (kind.lower() == "@layer" or kind.lower() == "@media" and on_screen(rest))
+            open_blocks.append((name, counts))
+        elif mark == "}":
+            if open_blocks:
+                name, counts = open_blocks.pop()
+                if counts and not name.startswith("@"):
+                    out.append((name, sheet[at : m.start()]))
+        elif mark != ";" or open_blocks and not open_blocks[-1][0].startswith("@"):
+            continue
+        at = m.end()
+    return out
+
+
 def sheet_rules(events: list[tuple]) -> dict[str, bool]:
     """Selectors of one tag, class or id that the page's style elements hide."""
     found: dict[str, bool] = {}
-    for n, (kind, tag, _) in enumerate(events):
-        if kind == "open" and tag == "style" and events[n + 1][0] == "text" and "none" in events[n + 1][1]:
-            for names, body in RULE.findall(re.sub(r"/\*.*?\*/", "", events[n + 1][1], flags=re.S)):
+    for n, (kind, tag, attrs) in enumerate(events):
+        if kind == "open" and tag == "style" and events[n + 1][0] == "text" and "none" in events[n + 1][1] and on_screen(attrs.get("media") or "all"):
+            for names, body in plain_rules(events[n + 1][1]):
                 if "display" in body.lower():
                     found |= {s.strip().lower(): bool(HIDES.search(body)) for s in names.split(",")}
     return {s: True for s, hides in found.items() if hides}
@@ -299,6 +343,7 @@ def render(html: str) -> str:
     events = tree(html)
     rules = sheet_rules(events)
     flow = Flow()
+    foreign = 0  # open svg and math elements
     gone = 0  # open elements inside one that isn't shown
     unseen: list[bool] = [False]  # visibility of the open elements
     pre = 0
@@ -322,7 +367,8 @@ def render(html: str) -> str:
                 continue
             if (
                 tag in UNSEEN
-                or attrs and ("hidden" in attrs or tag == "input" or style and HIDES.search(style))
+                or foreign and tag in UNSEEN_FOREIGN
+                or attrs and ("hidden" in attrs or style and HIDES.search(style))
                 or tag == "dialog" and "open" not in attrs
                 or rules and (tag in rules or "#" + attrs.get("id", "").lower() in rules or any("." + c.lower() in rules for c in attrs.get("class", "").split()))
             ):
@@ -333,6 +379,11 @@ def render(html: str) -> str:
                 continue
             state = VISIBILITY.search(style) if style else None
             unseen.append(unseen[-1] if not state else state[1].lower() != "visible")
+            foreign += tag in FOREIGN
+            if tag == "input" and not unseen[-1] and attrs.get("type", "").strip().lower() in CAPTIONED:
+                flow.text(attrs.get("value", ""))
+            elif tag == "text" and foreign:
+                flow.lines(1)
             if tag == "details":
                 details.append("open" not in attrs)
             elif tag == "summary" and details:
@@ -370,6 +421,9 @@ def render(html: str) -> str:
             continue
         if len(unseen) > 1:
             unseen.pop()
+        foreign -= tag in FOREIGN
+        if tag == "text" and foreign:
+            flow.lines(1)
         if tag in ("details", "summary") and details and len(details) > (tag == "summary"):
             details.pop()
         if tag == "table" and tables:

@@ -76,6 +76,22 @@ LAYOUT = [
 ]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+        ("a<svg><title>no</title><defs/><desc>no</desc><path d='M0'/><text>one</text><text>two</text></svg><p>b", "a\none\ntwo\n\nb"),
+        ("a <input type=submit value='Send &amp; go'> <input type=hidden value=no><input value=no><input type=Button value=B hidden> b", "a Send & go b"),
+        ("<style>@media print { .content { display:none } } .x{display:none}</style><p class=content>yes<p class=x>no", "yes"),
+        ("<style>@import 'a;b{}'; .x{display:none} @media screen and (max-width:600px){.y{display:none}}</style><p class=x>no<p class=y>yes", "yes"),
+        ("<style>@media screen{.x{display:none}} @layer a{.y{display:none}} @media not screen{p{display:none}}</style><p class=x>no<p class=y>no<p>yes", "yes"),
+        ("<style media=print>p{display:none}</style><p>yes", "yes"),
+    ],
+)
+def test_html_foreign_text_captions_and_media(page, text):
+    assert html_text.render(page) == text
+
+
 @pytest.mark.parametrize("page,text", LAYOUT)
 def test_html_layout(page, text):
     assert html_text.render(page) == text
