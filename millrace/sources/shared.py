@@ -9,13 +9,18 @@ from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset, as in tests, a folder of our own, set for the session."""
+    """``spark.checkpoint.dir``; where that is unset, as in tests, a folder of our own, set for the session.
+
+    Only on a local master: elsewhere a folder of one machine would not be seen by the others.
+    """
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         option = context._jsc.sc().getCheckpointDir()
         if option.isDefined():
             return option.get().rstrip("/")
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")
