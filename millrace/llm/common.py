@@ -4,38 +4,26 @@ tables, and ordered prefix sums that never put a whole group into one task."""
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.sources.shared import shared_folder
+
 #: Java regular expression of a word: a run without space, tab, newline, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        option = context._jsc.sc().getCheckpointDir()
-        if option.isDefined():
-            found = option.get()
-        else:
-            found = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-            context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 #: Folders that this process has written.
 WRITTEN: list[str] = []
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    WRITTEN.append(f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}")
-    return WRITTEN[-1]
+    path = f"{shared_folder(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
+    return path
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -58,10 +46,22 @@ def cleanup(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage is cut there,
     the table survives lost executors, and every later use sees the same rows."""
+    return materialize_at(df, name)[0]
+
+
+def materialize_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As ``materialize``, and where the table is, for ``discard``."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def numbered_by(df: DataFrame, order: list[Column], out: str, name: str) -> DataFrame:
+    """``df``, written, with a long ``out`` that ascends with ``order``: rows are dealt by ranges, sorted and
+    numbered in the order of partitions. The numbers have gaps."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(dealt.withColumn(out, F.monotonically_increasing_id()), name)
 
 
 def bucket_bits(rows: int, per_bucket: int = 1000, most: int = 20) -> int:

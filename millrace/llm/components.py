@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WRITTEN, discard, materialize
+from millrace.llm.common import discard, materialize_at
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,15 +27,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def named(nodes: DataFrame, linked: DataFrame, node: str, name: str, out: str) -> DataFrame:
+    """``nodes`` with ``out``: the ``name`` of their component's smallest node, their own where they have no link.
+
+    ``linked`` comes from ``components``; the join by component has unique keys on one side, so adaptive execution
+    may split a large component.
+    """
+    placed = nodes.join(linked, F.col(node) == F.col("node"), "left").withColumn("_root", F.coalesce("component", node)).drop("node", "component")
+    names = nodes.select(F.col(node).alias("_node"), F.col(name).alias(out))
+    return placed.join(names, F.col("_root") == F.col("_node")).drop("_root", "_node")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of ``edges`` (u, v), of any one orderable type; the component is its
     smallest node. Null ends, loops and repeated edges are ignored; no edges give no rows."""
-    edges = materialize(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    edges, last = materialize_at(edges.filter("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     digest = None
     while True:
-        last = WRITTEN[-1]
-        edges = materialize(_star(_star(edges, True), False), "star")
+        edges, path = materialize_at(_star(_star(edges, True), False), "star")
         discard(edges.sparkSession, last)
+        last = path
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == digest:
             break

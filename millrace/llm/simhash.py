@@ -29,8 +29,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, read_table
-from millrace.llm.components import components
+from millrace.llm.common import materialize, numbered_by, read_table
+from millrace.llm.components import components, named
 
 #: Set bits of each byte value, by bit.
 BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
@@ -92,36 +92,37 @@ def chain_budgets(a: Column, b: Column, start: Column, segments: int, most: int)
     return out
 
 
-def fingerprint_links(distinct: DataFrame, most: int = 2, segments: int = 16, crowd: int = 64) -> DataFrame:
-    """Edges (u, v) that connect what is linked among the ``distinct`` fingerprints (fp)."""
+def fingerprint_links(distinct: DataFrame, most: int = 2, segments: int = 16, crowd: int = 64, node: str = "fp") -> DataFrame:
+    """Edges (u, v) that connect what is linked among the ``distinct`` fingerprints (fp, node); the ends are nodes."""
     if most > 2:
         raise ValueError("the exact way for crowded keys is for two bits at most")
     length = free_chain(segments, most)
     fp = F.col("fp")
-    keyed = distinct.select("fp", F.posexplode(F.array(*(fp.bitwiseAND(F.lit(ring_bits(s, length, segments))) for s in range(segments)))).alias("start", "chain"))
+    keyed = distinct.select("fp", F.col(node).alias("uid"), F.posexplode(F.array(*(fp.bitwiseAND(F.lit(ring_bits(s, length, segments))) for s in range(segments)))).alias("start", "chain"))
     counts = keyed.groupBy("start", "chain").count().filter("count > 1")
     shared = materialize(keyed.join(counts, ["start", "chain"]), "simhash-keys")
     few = shared.filter(F.col("count") <= crowd)
-    other = few.select(F.col("start").alias("start2"), F.col("chain").alias("chain2"), F.col("fp").alias("fp2"))
+    other = few.select(F.col("start").alias("start2"), F.col("chain").alias("chain2"), F.col("fp").alias("fp2"), F.col("uid").alias("uid2"))
     pairs = few.join(other, (F.col("start") == F.col("start2")) & (F.col("chain") == F.col("chain2")) & (fp < F.col("fp2")) & chain_budgets(fp, F.col("fp2"), F.col("start"), segments, most))
-    pairs = pairs.select(fp.alias("u"), F.col("fp2").alias("v"))
+    pairs = pairs.select(F.col("uid").alias("u"), F.col("uid2").alias("v"))
     many = shared.filter(F.col("count") > crowd)
     flips = [[1 << b if b < 63 else -(1 << 63) for b in range(64) if not (ring_bits(s, length, segments) >> b) & 1] for s in range(segments)]
     changes = F.element_at(F.array(*(F.array(F.lit(0).cast("long"), *(F.lit(x).cast("long") for x in f)) for f in flips)), F.col("start") + 1)
-    listed = many.select("fp", "start", F.explode(changes).alias("flip")).select("fp", "start", fp.bitwiseXOR(F.col("flip")).alias("near"))
-    lists = listed.groupBy("start", "near").agg(F.collect_set("fp").alias("near_fps")).filter(F.size("near_fps") > 1)
-    stars = lists.select(F.array_min("near_fps").alias("u"), F.explode("near_fps").alias("v")).filter("u <> v")
+    listed = many.select("fp", "uid", "start", F.explode(changes).alias("flip")).select("uid", "start", fp.bitwiseXOR(F.col("flip")).alias("near"))
+    lists = listed.groupBy("start", "near").agg(F.collect_set("uid").alias("near_uids")).filter(F.size("near_uids") > 1)
+    stars = lists.select(F.array_min("near_uids").alias("u"), F.explode("near_uids").alias("v")).filter("u <> v")
     return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, most: int = 2) -> DataFrame:
-    """(key, fp, component_id) for each row of ``documents``; component_id is the smallest key of the component."""
+    """(key, fp, component_id) for each row of ``documents``; component_id is the smallest key of the component.
+
+    Fingerprints are numbered in the order of their smallest key, so the smallest number of a component names it.
+    """
     rows = materialize(fingerprints(documents, key, text, words), "simhash")
-    classes = materialize(rows.groupBy("fp").agg(F.min(key).alias("least")), "simhash-classes")
-    linked = components(fingerprint_links(classes.select("fp"), most))
-    classes = classes.join(linked, F.col("fp") == F.col("node"), "left").withColumn("component", F.coalesce("component", "fp")).drop("node")
-    named = classes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = classes.select(F.col("fp").alias("_fp"), F.col("component").alias("_c")).join(named, F.col("_c") == F.col("component")).select("_fp", "component_id")
+    classes = numbered_by(rows.groupBy("fp").agg(F.min(key).alias("least")), [F.col("least").asc_nulls_last(), F.col("fp").asc()], "uid", "simhash-classes")
+    linked = components(fingerprint_links(classes.select("fp", "uid"), most, node="uid"))
+    classes = named(classes, linked, "uid", "least", "component_id").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(classes, F.col("fp") == F.col("_fp")).select(F.col(key), "fp", "component_id")
 
 
@@ -305,7 +306,7 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
     """
     rows = materialize(text_marks(documents, key, text, words), "marks")
     same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), *(F.first(c).alias(c) for c in ("x", "n", "bands", "marks")))
-    nodes = materialize(same.withColumn("uid", F.monotonically_increasing_id()), "nodes")
+    nodes = numbered_by(same, [F.col("least").asc_nulls_last(), F.col("t1").asc(), F.col("t2").asc()], "uid", "nodes")
     marks = nodes.select(F.col("uid").alias("_w"), "marks")
 
     keys = nodes.select("uid", "n", F.posexplode("bands").alias("band", "value"))
@@ -335,8 +336,6 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
         links = materialize(links.unionByName(exact_pairs(documents, nodes, likely, similarity, words, text)), "copies-links")
         linked = components(links)
 
-    named = nodes.select("uid", "t1", "t2", "least").join(linked, F.col("uid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "uid"))
-    first = named.groupBy(F.col("c").alias("_c")).agg(F.min("least").alias("group"))
-    named = named.join(first, F.col("c") == F.col("_c")).select(F.col("t1").alias("_1"), F.col("t2").alias("_2"), "group")
-    out = rows.select("k", "t1", "t2").join(named, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
+    groups = named(nodes.select("uid", "t1", "t2", "least"), linked, "uid", "least", "group").select(F.col("t1").alias("_1"), F.col("t2").alias("_2"), "group")
+    out = rows.select("k", "t1", "t2").join(groups, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
     return out.select(F.col("k").alias(key), "t1", "t2", F.col("group").alias("component"))

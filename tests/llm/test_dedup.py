@@ -304,3 +304,30 @@ def test_embedding_links_and_classes(spark):
     assert all(found[o[0]]["n_links"] == 0 and found[o[0]]["kept"] for o in odd)
     assert found[0]["recall"] >= 0.9
     assert embeddings.near_duplicates(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("spread,size", [(0.035, 1500), (0.022, 10_000)])
+def test_a_crowd_over_many_shards_keeps_every_link(spark, spread, size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=32)
+    x = np.float32(x / np.linalg.norm(x) + spread * rng.normal(size=(size, 32)))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(size + i, v, 0) for i, v in enumerate(vectors(rng, 60))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = {r["vec_id"]: r for r in embeddings.near_duplicates(df, shard_rows=size // 10).collect()}
+    y = np.array([np.float32(r[1]) for r in rows], np.float64)
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    linked = y[:size] @ y.T >= 0.93
+    truth = linked.sum(1) - 1
+    assert (truth.min() < size - 1) == (size == 1500)  # in the larger crowd all pairs are linked
+    assert [found[i]["n_links"] for i in range(size)] == truth.tolist()
+    assert all(found[i]["component_id"] == 0 for i in range(size)) and found[0]["recall"] == 1.0
+
+
+def test_small_labels_and_split_cells(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v, i % 300) for i, v in enumerate(vectors(rng, 900))] + [(2000 + i, v, 999) for i, v in enumerate(vectors(rng, 800))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    classes = embeddings.vector_classes(df, "vec_id", "embedding", "label")[1]
+    cells = embeddings.sharded(classes, 20, fan=4).groupBy("cell").count().collect()
+    assert len(cells) > 320 and max(r["count"] for r in cells) <= 60
+    assert {r["cell"].split("/")[0] for r in cells} == {f"{i}|32" for i in [*range(300), 999]}
