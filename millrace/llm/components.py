@@ -10,6 +10,7 @@ written to the shared folder.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest node of each node's component."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    while (root[root] != root).any():
+        root = root[root]
+    return root
+
+
 def named(nodes: DataFrame, linked: DataFrame, node: str, name: str, out: str) -> DataFrame:
     """``nodes`` with ``out``: the ``name`` of their component's smallest node, their own where they have no link.
 

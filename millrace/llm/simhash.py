@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import materialize, numbered_by, read_table
-from millrace.llm.components import components, named
+from millrace.llm.components import components, local_roots, named
 
 #: Set bits of each byte value, by bit.
 BITS = np.array([[v >> b & 1 for b in range(8)] for v in range(256)], np.int64)
@@ -139,8 +139,8 @@ BINS = 256
 MARGIN = 0.15
 #: Keys of a text, and MinHash minima that one key combines: texts of similarity s share no key with chance (1 - s^4)^24, 3e-6 at 0.8.
 BANDS, BAND = 24, 4
-#: Texts of one side of a cell, in which the texts of a crowded key are compared.
-SIDE = 256
+#: Texts, and shingles, of about one side of a cell, in which the texts of a crowded key are compared.
+SIDE, SIDE_SHINGLES = 256, 1 << 20
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 DRAWS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * BAND, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
 
@@ -258,39 +258,56 @@ def exact_pairs(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, simila
     return both.filter(F.col("shared") / (F.col("sizes") - F.col("shared")) >= similarity).select("u", "v")
 
 
-def crowded_pairs(left: DataFrame, similarity: float, best: bool) -> DataFrame:
-    """Pairs (u, v) of texts of different components in the crowded keys ``left`` (band, value, members, uid, n, c, marks)
-    that can be similar by size and sketch; if ``best``, for each text and component in a cell the likeliest only.
+def shared_shingles(sets: list[np.ndarray], rows: np.ndarray, others: np.ndarray, columns: int = 8192) -> np.ndarray:
+    """How many shingles each of the sets ``rows`` shares with each of the sets ``others``: a matrix product over the shingles of several sets."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, number, count = np.unique(every, return_inverse=True, return_counts=True)
+    several = count > 1
+    number, owner = (np.cumsum(several) - 1)[number[several[number]]], owner[several[number]]
+    order = np.argsort(number, kind="stable")
+    number, owner = number[order], owner[order]
+    out = np.zeros((len(rows), len(others)), np.float32)
+    for first in range(0, int(several.sum()), columns):
+        a, b = np.searchsorted(number, (first, first + columns))
+        held = np.zeros((len(sets), columns), np.float32)
+        held[owner[a:b], number[a:b] - first] = 1
+        out += held[rows] @ held[others].T
+    return out
+
+
+def crowded_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v), reduced to stars in each cell, between texts of different components in the keys ``keys``
+    (band, value, uid, own, blocks, c, lead, rest_blocks), decided by the whole ``sets`` (uid, shingles).
 
-    The texts of a key are dealt to blocks of about ``SIDE``, and each two blocks meet in a cell, so no task
-    holds a whole key and every pair is seen.
+    ``lead`` is the largest component of a key. The texts of the others are dealt to ``rest_blocks`` blocks, all
+    texts to ``blocks``, and each two blocks meet in a cell. So every pair is seen, no task holds a whole key, and
+    no pairs are listed but those that link.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        uid, n, c, own = (table[x].to_numpy() for x in ("uid", "n", "c", "own"))
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        marks = np.frombuffer(b"".join(table["marks"].to_pylist()), np.uint8).reshape(-1, BINS)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        others = np.flatnonzero(own == j)
-        for r in np.flatnonzero(own == i):
-            o = others[(c[others] != c[r]) & (np.minimum(n[others], n[r]) / np.maximum(n[others], n[r]) >= similarity) & ((i != j) | (uid[others] > uid[r]))]
-            if not len(o):
-                continue
-            used = ((marks[o] > 0) | (marks[r] > 0)).sum(1)
-            share = ((marks[o] == marks[r]) & (marks[o] > 0)).sum(1) / np.maximum(used, 1)
-            near = share >= similarity - MARGIN
-            o, share = o[near], share[near]
-            if best and len(o):
-                o = o[np.argsort(-share, kind="stable")]
-                o = o[np.unique(c[o], return_index=True)[1]]
-            found.append((np.full(len(o), uid[r]), uid[o]))
-        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
-
-    blocks = F.ceil(F.col("members") / SIDE)
-    dealt = left.withColumn("own", F.pmod(F.xxhash64("uid"), blocks)).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    dealt = dealt.select("band", "value", F.least("own", "to").alias("i"), F.greatest("own", "to").alias("j"), "own", "uid", "n", "c", "marks")
-    return dealt.groupBy("band", "value", "i", "j").applyInArrow(run, "u long, v long").distinct()
+        uid, c, side = (table[x].to_numpy() for x in ("uid", "c", "side"))
+        rest, every = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
+        u = v = np.zeros(0, np.int64)
+        if len(rest) and len(every) and (c != c[0]).any():
+            sets = [np.asarray(x.values) for x in table["shingles"].combine_chunks()]
+            n = np.array([len(x) for x in sets])
+            shared = shared_shingles(sets, rest, every)
+            close = shared / (n[rest][:, None] + n[every][None, :] - shared) >= similarity
+            i, j = np.nonzero(close & (c[rest][:, None] != c[every][None, :]))
+            u, v = uid[rest[i]], uid[every[j]]
+            names, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+            root = names[local_roots(len(names), ends[: len(u)], ends[len(u) :])]
+            u, v = names[root != names], root[root != names]
+        return pa.table({"u": np.minimum(u, v), "v": np.maximum(u, v)})
+
+    rest = F.col("c") != F.col("lead")
+    mine = F.pmod(F.xxhash64("uid", F.lit("rest")), F.col("rest_blocks"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest_blocks") - 1), lambda t: F.struct(t.alias("b"), F.col("own").alias("a"), F.lit(0).alias("side")))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda t: F.struct(mine.alias("b"), t.alias("a"), F.lit(1).alias("side")))
+    placed = keys.withColumn("cell", F.when(rest, F.concat(met, meets)).otherwise(met)).join(sets.withColumnRenamed("uid", "_uid"), F.col("uid") == F.col("_uid"))
+    cells = placed.select("band", "value", "uid", "c", "shingles", F.explode("cell").alias("cell")).select("band", "value", "cell.*", "uid", "c", "shingles")
+    return cells.groupBy("band", "value", "b", "a").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text", crowd: int = 16) -> DataFrame:
@@ -300,9 +317,9 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
     linked if the Jaccard similarity of their whole sets of shingles is at least ``similarity``; sizes and
     sketches only spare comparisons that can't reach it. Equal texts are one node. In a key with more than
     ``crowd`` different texts each is first compared with two of them, the one of the smallest uid and one drawn by
-    hash. In the keys whose texts are then not all in one component, all pairs of different components
-    are compared, first the likeliest ones. So a group of near copies around a hub costs no more than its size
-    in pairs, and no key drops a pair. component is the smallest key.
+    hash. In the keys whose texts are then not all in one component, the texts outside the largest one are compared
+    with all, in cells. So a group of near copies around a hub costs no more than its size in pairs, and no
+    key drops a pair. component is the smallest key.
     """
     rows = materialize(text_marks(documents, key, text, words), "marks")
     same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), *(F.first(c).alias(c) for c in ("x", "n", "bands", "marks")))
@@ -310,7 +327,8 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
     marks = nodes.select(F.col("uid").alias("_w"), "marks")
 
     keys = nodes.select("uid", "n", F.posexplode("bands").alias("band", "value"))
-    counts = keys.groupBy("band", "value").agg(F.count("*").alias("members"), F.min(F.struct("uid", "n")).alias("hub"), F.min(F.struct(F.xxhash64("uid"), "uid", "n")).alias("hub2")).filter("members > 1")
+    blocks = F.ceil(F.greatest(F.count("*") / SIDE, F.sum("n") / SIDE_SHINGLES))
+    counts = keys.groupBy("band", "value").agg(F.count("*").alias("members"), blocks.alias("blocks"), F.min(F.struct("uid", "n")).alias("hub"), F.min(F.struct(F.xxhash64("uid"), "uid", "n")).alias("hub2")).filter("members > 1")
     shared = materialize(keys.join(counts, ["band", "value"]), "copies-keys")
     sizes = lambda a, b: F.least(a, b) / F.greatest(a, b) >= similarity
     few = shared.filter(F.col("members") <= crowd).select("band", "value", "uid", "n")
@@ -325,16 +343,18 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
     links = materialize(exact_pairs(documents, nodes, likely, similarity, words, text), "copies-links")
     linked = components(links)
 
-    many = many.select("band", "value", "members", "uid", "n")
-    for best in (True, False):
-        placed = many.join(linked, F.col("uid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "uid")).drop("node", "component")
-        open_keys = placed.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("band", "value")
-        left = placed.join(open_keys, ["band", "value"]).join(marks, F.col("uid") == F.col("_w")).drop("_w")
-        likely = materialize(crowded_pairs(left, similarity, best), "copies-crowd")
-        if not likely.head(1):
-            break
-        links = materialize(links.unionByName(exact_pairs(documents, nodes, likely, similarity, words, text)), "copies-links")
-        linked = components(links)
+    own = F.pmod(F.xxhash64("uid"), F.col("blocks"))
+    many = many.select("band", "value", "blocks", own.alias("own"), "uid", "n")
+    placed = materialize(many.join(linked, F.col("uid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "uid")).drop("node", "component"), "copies-crowds")
+    parts = placed.groupBy("band", "value", "blocks", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    open_keys = parts.groupBy("band", "value", "blocks").agg(F.max(F.struct("m", "n", "c")).alias("most"), F.sum("m").alias("m"), F.sum("n").alias("n")).filter("m > most.m")
+    rest = F.ceil(F.greatest((F.col("m") - F.col("most.m")) / SIDE, (F.col("n") - F.col("most.n")) / SIDE_SHINGLES))
+    open_keys = open_keys.select("band", "value", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("own"), F.col("most.c").alias("lead"), rest.alias("rest_blocks"))
+    left = materialize(placed.join(open_keys, ["band", "value", "own"]).drop("n"), "copies-open")
+    if left.head(1):
+        wanted = nodes.join(left.select(F.col("uid").alias("_w")).distinct(), F.col("uid") == F.col("_w"), "left_semi").select("uid", "x")
+        sets = materialize(shingle_sets(documents, wanted, text, words), "copies-crowd-sets")
+        linked = components(links.unionByName(materialize(crowded_links(left, sets, similarity), "copies-crowd-links")))
 
     groups = named(nodes.select("uid", "t1", "t2", "least"), linked, "uid", "least", "group").select(F.col("t1").alias("_1"), F.col("t2").alias("_2"), "group")
     out = rows.select("k", "t1", "t2").join(groups, (F.col("t1") == F.col("_1")) & (F.col("t2") == F.col("_2")))
