@@ -11,8 +11,10 @@ of MathML, inputs but for the captions of buttons; elements with ``hidden``, an
 ``display:none`` or ``visibility:hidden`` (which a descendant may lift with ``visible``), those a style
 sheet of the page hides on a screen by a plain ``tag``, ``.class`` or ``#id`` rule, closed details, closed dialogs.
 
-Neither uses recursion, so depth is no limit; work is in proportion to the page's length, and columns
-above ``ALIGN`` characters aren't padded. Cases: null html gives null, an empty page an empty text; rows
+Neither uses recursion, so depth is no limit. Columns are as wide as their widest cell. So that text stays in
+proportion to the page, a table's padding is at most ``PADDING`` times its text and ``PADDING_LEAST`` characters: a table
+that would need more (very many rows beside a very long cell) has its widest columns narrowed until it fits, and a
+cell beyond its column is followed by two spaces. Spans count as in browsers, to 1000 columns and 65534 rows. Cases: null html gives null, an empty page an empty text; rows
 that repeat give equal rows; other columns of the input are kept in ``extract`` under their names.
 """
 
@@ -20,7 +22,9 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +72,7 @@ WIDTH = re.compile(r"(min|max)-width\s*:\s*([\d.]+)px", re.I)
 SCREEN = 1280
 HIDES = re.compile(r"display\s*:\s*none", re.I)
 VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
-ALIGN = 40
+PADDING, PADDING_LEAST = 50, 100_000
 NO_ATTRIBUTES: dict[str, str] = {}
 
 
@@ -270,21 +274,31 @@ class Table:
             down = below
             grid.append(line)
         wide: dict[int, int] = {}
+        lines = characters = 0
         for line in grid:
+            lines += max((len(cell) for cell, _ in line.values()), default=0)
             for col, (cell, across) in line.items():
+                characters += sum(map(len, cell))
                 if across == 1:
-                    wide[col] = max(wide.get(col, 0), min(ALIGN, max(map(len, cell))))
+                    wide[col] = max(wide.get(col, 0), max(map(len, cell)))
+        cap = max(wide.values(), default=0)
+        while lines * sum(min(w, cap) for w in wide.values()) > PADDING * characters + PADDING_LEAST and cap > 1:
+            cap //= 2
+        columns = sorted(wide)
+        starts = [0, *accumulate(min(wide[c], cap) + 2 for c in columns)]
         out = []
         for line in grid:
             for n in range(max((len(cell) for cell, _ in line.values()), default=0)):
-                done = ""
+                done, length = [], 0
                 for col in sorted(line):
-                    start = sum(wide.get(c, 0) + 2 for c in range(col)) if col <= 64 else 0
                     cell = line[col][0][n] if n < len(line[col][0]) else ""
                     if cell:
-                        done = done.ljust(start) + ("  " if done and len(done) >= start and not done.endswith("  ") else "") + cell
+                        start = starts[bisect_left(columns, col)]
+                        pad = start - length if length < start else 2 if length else 0
+                        done += [" " * pad, cell]
+                        length += pad + len(cell)
                 if done:
-                    out.append(done.rstrip())
+                    out.append("".join(done).rstrip())
         return out
 
 
@@ -292,6 +306,12 @@ def number(value: str | None, least: int, most: int) -> int:
     return max(least, min(most, int(value))) if value and value.strip().isdecimal() and len(value) < 9 else least
 
 
+def integer(value: str | None, default: int) -> int:
+    """An integer as HTML reads it: white space, a sign, digits, then anything."""
+    m = re.match(r"[ \t\n\f\r]*([+-]?[0-9]{1,18})", value or "")
+    return int(m[1]) if m else default
+
+
 def on_screen(media: str) -> bool:
     """True if a list of media queries applies to a screen; queries of anything but type and width don't."""
     for query in media.split(","):
@@ -395,15 +415,16 @@ def render(html: str) -> str:
             elif tag == "tr" and tables:
                 tables[-1][0].rows.append([])
             elif tag in CELLS and tables and tables[-1][0].rows:
-                cells.append((flow, number(attrs.get("colspan"), 1, 100), number(attrs.get("rowspan"), 1, 1000), lists, pre))
+                cells.append((flow, number(attrs.get("colspan"), 1, 1000), number(attrs.get("rowspan"), 1, 65534), lists, pre))
                 flow, lists, pre = Flow(), [], 0
             elif tag in BLOCK:
                 flow.lines(1 if tag not in BLANK_LINE or tag in ("ul", "ol", "menu", "dir") and lists else 2)
                 if tag in ("ul", "ol", "menu", "dir"):
-                    lists.append([tag, number(attrs.get("start"), 1, 10**8) if "start" in attrs else 1])
+                    lists.append([tag, integer(attrs.get("start"), 1)])
                 elif tag == "li":
                     mark = "- "
                     if lists and lists[-1][0] == "ol":
+                        lists[-1][1] = integer(attrs.get("value"), lists[-1][1])
                         mark = f"{lists[-1][1]}. "
                         lists[-1][1] += 1
                     flow.indent += " " * len(mark)

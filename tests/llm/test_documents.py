@@ -5,6 +5,7 @@ import hashlib
 import html.parser
 import random
 import re
+from collections import Counter
 from itertools import permutations
 
 import duckdb
@@ -72,6 +73,11 @@ LAYOUT = [
     ("<td>out</td> of <table>foster<tr><td>in", "out of foster\n\nin"),
     ("x < y <3 </3> <a href='>'>z</a> <q", "x < y <3 z"),
     ("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "a\n  b\nc\n  d"),
+    ("<ol start=0><li>a<li>b</ol>", "0. a\n1. b"),
+    ("<ol start=-3><li>a<li>b<li value=7>c</ol>", "-3. a\n-2. b\n7. c"),
+    (f"<table><tr><td>{'w' * 50}<td>1<tr><td>a<td>2</table>", f"{'w' * 50}  1\na{' ' * 51}2"),
+    ("<table><tr>" + "".join(f"<td>c{i % 10}" for i in range(70)) + "<tr>" + "<td>" * 69 + "<td>x</table>", "  ".join(f"c{i % 10}" for i in range(70)) + "\n" + " " * 276 + "x"),
+    ("<table><tr><td colspan=500>a<td>b<tr>" + "<td>" * 500 + "<td>c</table>", " " * 0 + "a" + " " * 999 + "b\n" + " " * 1000 + "c"),
     ("", ""),
 ]
 
@@ -97,6 +103,12 @@ def test_html_layout(page, text):
     assert html_text.render(page) == text
 
 
+def test_html_padding_is_bounded_and_drops_nothing():
+    page = "<table><tr><td>" + "long " * 40_000 + "<td>z" + "<tr><td>a<td>b" * 20_000 + "</table>"
+    text = html_text.render(page)
+    assert len(text) < 60 * len(page) and Counter(text.split()) == Counter({"long": 40_000, "a": 20_000, "b": 20_000, "z": 1})
+
+
 def test_html_depth_and_length():
     for page in ("<div>" * 30_000 + "x", "<p><b>" * 30_000, "<table><tr><td>" * 500 + "x", "<a href='" * 20_000, "<ul><li>" * 2000 + "q"):
         html_text.render(page)
