@@ -381,6 +381,28 @@ def test_sharding_by_bytes(spark, tmp_path):
     assert sum(spark.read.parquet(r["path"]).count() for r in manifest) == 400 and [r["rewritten"] for r in manifest] == [True] * 5
 
 
+def test_sharding_keeps_groups_that_fit(spark):
+    rng = random.Random(8)
+    texts = [f"text {k} " * rng.randint(1, 40) for k in range(200)]
+    rows = [(None if i % 3 else i, f"s{i % 5}", rng.choice(texts) if i % 3 else "hot text " * 20, 1, 2, True) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, shard int, slot int, moved boolean")
+    names = sharding.document_rows(df, 8, carry=["text", "shard", "slot", "moved"])
+    found = sharding.reshard(names, n_new=8, group="text_hash").collect()
+    assert len(found) == len(rows) and sorted(r["text"] for r in found) == sorted(r[2] for r in rows)
+    loads, shards, total = [0] * 8, {}, {}
+    for r in found:
+        loads[r["shard"]] += r["size"]
+        shards.setdefault(r["text"], set()).add(r["shard"])
+        total[r["text"]] = total.get(r["text"], 0) + r["size"]
+    assert max(loads) - min(loads) <= 0.02 * sum(loads) / 8
+    split = {t for t, s in shards.items() if len(s) > 1}
+    assert split == {"hot text " * 20} and len(shards["hot text " * 20]) > 1 and total["hot text " * 20] > sum(loads) / 32
+    for s in range(8):
+        assert sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
+    with pytest.raises(ValueError):
+        sharding.reshard(names, old="shard")
+
+
 # Queries
 
 
