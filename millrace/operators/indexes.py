@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import fulltext
+
 
 def indexed(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows with no NULL key."""
@@ -28,6 +30,31 @@ def write_hashed(df: DataFrame, key: str, table: str, path: str, buckets: int =
     indexed(df, [key]).write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
 
 
+def with_place(df: DataFrame) -> DataFrame:
+    """Rows of files with ``_place``: the last folder and name of the file, and the row's number in it."""
+    file = F.regexp_extract(F.col("_metadata.file_path"), "([^/]+/[^/]+)$", 1)
+    return df.select("*", F.struct(file.alias("file"), F.col("_metadata.row_index").alias("row")).alias("_place"))
+
+
+def write_part(df: DataFrame, kind: str, keys: list[str], path: str) -> None:
+    """An index of stored rows: all columns in the order of the keys, or a text index of the rows' places."""
+    if kind == "FULLTEXT":
+        texts = with_place(df).select("_place", F.concat_ws("\n", *keys).alias("_text"))
+        fulltext.store(fulltext.build(texts, "_place", "_text"), path)
+    elif kind == "HASH":
+        indexed(df, keys).repartition(*keys).sortWithinPartitions(*keys).write.parquet(path)
+    else:
+        indexed(df, keys).repartitionByRange(*keys).sortWithinPartitions(*keys).write.parquet(path)
+
+
+def matching_rows(df: DataFrame, paths: list[str], terms: list[str], every: bool) -> DataFrame:
+    """Stored rows whose text index ``paths`` lists any of the ``terms``, or every one."""
+    postings = df.sparkSession.read.parquet(*(f"{p}/postings" for p in paths)).filter(F.col("term").isin(terms))
+    hits = postings.groupBy("doc").agg(F.count("*").alias("n"))
+    hits = hits.filter(F.col("n") == len(terms)) if every else hits
+    return with_place(df).join(hits, F.col("_place") == F.col("doc"), "left_semi").drop("_place")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -27,18 +31,40 @@ class Files:
             stream.close()
 
     def write(self, name: str, text: str, new: bool = False) -> bool:
-        """Write a file whole: to a temporary name, then renamed. ``new``: False if it is there already."""
+        """Write a file whole: to a temporary name, then renamed.
+
+        ``new``: False if it is there already, decided by one atomic step: a hard link on a local disk, else a
+        create that may not overwrite (atomic on HDFS, and on stores that have conditional writes).
+        """
         fs, final = self._fs(name), self.path(name)
-        temporary = self.path(f"{name}.{id(text):x}.tmp")
+        local = final.toUri().getScheme() in (None, "file") and fs.getUri().getScheme() == "file"
+        if new and not local:
+            try:
+                stream = fs.create(final, False)
+            except Py4JJavaError as error:
+                if "Exist" in error.java_exception.getClass().getSimpleName():
+                    return False
+                raise
+            stream.write(bytearray(text.encode()))
+            stream.close()
+            return True
+        temporary = self.path(f"{name}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(temporary, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if not new:
-            fs.delete(final, False)
-        if not fs.rename(temporary, final):
-            fs.delete(temporary, False)
-            return False
-        return True
+        if new:
+            try:
+                os.link(temporary.toUri().getPath(), final.toUri().getPath())
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                fs.delete(temporary, False)
+        fs.delete(final, False)
+        return fs.rename(temporary, final)
+
+    def move(self, name: str, to: str) -> None:
+        self._fs(name).rename(self.path(name), self.path(to))
 
     def list(self, name: str) -> list[str]:
         if not self.exists(name):

@@ -6,7 +6,9 @@ renaming it into place, which fails if another writer has published that number
 Readers hold on to the folders of their manifest, so they see one snapshot. A transaction keeps its
 manifests in memory and publishes them at COMMIT; ROLLBACK forgets them. VACUUM compacts the data
 and deletes folders and manifests that no longer count. Data folders are never overwritten; UPDATE
-and DELETE rewrite the files that hold a row they change and keep the others.
+and DELETE rewrite the files that hold a row they change and keep the others. An index is a list of
+parts, each over some of the data; whatever publishes data writes parts for what no part covers, so indexes
+follow every statement.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.operators.indexes import number_rows
+from millrace.operators.indexes import number_rows, write_part
 from millrace.sources.files import Files
 
 
@@ -90,8 +92,25 @@ class Store:
             raise StoreError("TABLE_NOT_FOUND", table)
         return json.loads(json.dumps(found))
 
+    def _index(self, table: str, manifest: dict) -> None:
+        """Bring the parts of every index up to the manifest's data."""
+        live = manifest["data"]
+        for name, index in manifest["indexes"].items():
+            parts = [p for p in index.get("parts", []) if set(p["entries"]) <= set(live)]
+            covered = {e for p in parts for e in p["entries"]}
+            if missing := [e for e in live if e not in covered]:
+                path = f"{self._database()}/{table}/index-{name.lower()}-{uuid.uuid4().hex}"
+                write_part(self._rows(table, missing, manifest), index["kind"], index["columns"], f"{self.files.root}/{path}")
+                parts.append({"entries": missing, "path": path})
+            index["parts"] = parts
+
+    def index_paths(self, manifest: dict, name: str) -> list[str]:
+        return [f"{self.files.root}/{p['path']}" for p in manifest["indexes"][name]["parts"]]
+
     def _put(self, table: str, manifest: dict) -> None:
         database, table = self._database(), table.lower()
+        if not manifest.get("dropped"):
+            self._index(table, manifest)
         if self.staged is not None:
             self.staged[database, table] = manifest
             return
@@ -102,7 +121,7 @@ class Store:
         folder = f"{database}/{table}/_manifests"
         self.files.make(folder)
         name = f"{folder}/{manifest['version']:012d}.json"
-        if self.files.exists(name) or not self.files.write(name, json.dumps(manifest), new=True):
+        if not self.files.write(name, json.dumps(manifest), new=True):
             raise StoreError("CONFLICT", f"{table} was changed meanwhile")
 
     def begin(self) -> None:
@@ -161,8 +180,8 @@ class Store:
             raise StoreError("TABLE_NOT_FOUND", table)
         self._put(table, self.manifest(table) | {"dropped": True, "data": []})
 
-    def schema(self, table: str) -> T.StructType:
-        fields = [T.StructField(c["name"], self._type(c), not c.get("not_null"), {"constraints": json.dumps(c)}) for c in self.manifest(table)["columns"]]
+    def schema(self, table: str, manifest: dict | None = None) -> T.StructType:
+        fields = [T.StructField(c["name"], self._type(c), not c.get("not_null"), {"constraints": json.dumps(c)}) for c in (manifest or self.manifest(table))["columns"]]
         return T.StructType(fields)
 
     @staticmethod
@@ -177,11 +196,14 @@ class Store:
             raise StoreError("TABLE_NOT_FOUND", table)
         return self._rows(table, m["data"])
 
-    def _rows(self, table: str, data: list[str]) -> DataFrame:
-        bare = T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema(table)])
-        if not data:
+    def _rows(self, table: str, data: list[str], manifest: dict | None = None) -> DataFrame:
+        return self.read_files(table, [f"{self.files.root}/{d}" for d in data], manifest)
+
+    def read_files(self, table: str, paths: list[str], manifest: dict | None = None) -> DataFrame:
+        bare = T.StructType([T.StructField(f.name, f.dataType, True) for f in self.schema(table, manifest)])
+        if not paths:
             return self.spark.createDataFrame([], bare)
-        return self.spark.read.schema(bare).parquet(*(f"{self.files.root}/{d}" for d in data))
+        return self.spark.read.schema(bare).parquet(*paths)
 
     def _write(self, table: str, df: DataFrame) -> str:
         name = f"{self._database()}/{table.lower()}/data-{uuid.uuid4().hex}"
@@ -239,15 +261,19 @@ class Store:
                 if n:
                     raise StoreError("CONSTRAINT_VIOLATION", what)
         for keys in manifest["unique"]:
-            every = new.select(keys) if rest is None else new.select(keys).unionByName(rest.select(keys))
-            for k in keys:
-                every = every.filter(F.col(k).isNotNull())
-            if every.groupBy(*keys).count().filter("count > 1").head(1):
+            added = new.select(keys).dropna()
+            twice = added.groupBy(*keys).count().filter("count > 1").head(1)
+            if twice or rest is not None and added.join(rest.select(keys), keys, "left_semi").head(1):
                 raise StoreError("CONSTRAINT_VIOLATION", f"({', '.join(keys)}) must be unique")
 
-    def insert(self, table: str, df: DataFrame) -> int:
-        """Append rows, matched by name; returns how many."""
+    def insert(self, table: str, df: DataFrame, batch: int | None = None) -> int:
+        """Append rows, matched by name; returns how many. A stream's ``batch`` is published with its rows,
+        and one that has been published already appends nothing."""
         m = self.manifest(table)
+        if batch is not None:
+            if m.get("batch", -1) >= batch:
+                return 0
+            m["batch"] = batch
         df = self._shaped(m, df)
         if any(c.get("auto_increment") for c in m["columns"]):
             df = self._stored(staging := self._write(table, df), df)
@@ -322,17 +348,32 @@ class Store:
         new = m | {"columns": columns}
         names = {c["name"].lower() for c in columns}
         new["unique"] = [u for u in m["unique"] if all(k.lower() in names for k in u)]
+        new["indexes"] = {n: i | {"parts": []} for n, i in m["indexes"].items() if all(k.lower() in names for k in i["columns"])}
         if not m["data"]:
             self._put(table, new)
             return
         self._replace(table, new, df.select(*(F.expr(select[c["name"]]).cast(self._type(c)).alias(c["name"]) for c in columns)))
 
-    def set_index(self, table: str, name: str, index: dict | None) -> None:
+    def rename_table(self, table: str, new: str) -> None:
+        """The table's folder under another name; rows, counters and indexes stay."""
+        if self.staged is not None:
+            raise StoreError("TRANSACTION", "a table cannot be renamed in a transaction")
+        if self.has_table(new):
+            raise StoreError("TABLE_EXISTS", new)
+        m, database = self.manifest(table), self._database()
+        old, now = f"{database}/{table.lower()}/", f"{database}/{new.lower()}/"
+        self.files.delete(now.rstrip("/"))
+        self.files.move(old.rstrip("/"), now.rstrip("/"))
+        moved = json.loads(json.dumps(m).replace(f'"{old}', f'"{now}'))
+        self._publish(database, new.lower(), moved)
+
+    def put(self, table: str, manifest: dict) -> None:
+        """Publish or stage a manifest taken from ``manifest`` and changed; its indexes are brought up to date."""
+        self._put(table, manifest)
+
+    def drop_index(self, table: str, name: str) -> None:
         m = self.manifest(table)
-        if index is None:
-            m["indexes"].pop(name)
-        else:
-            m["indexes"][name] = index
+        m["indexes"].pop(name)
         self._put(table, m)
 
     def vacuum(self, table: str) -> int:
@@ -344,9 +385,9 @@ class Store:
             self._replace(table, m, self.read(table))
             m = self.manifest(table)
         base = f"{self._database()}/{table.lower()}"
-        live, gone = {d.rsplit("/", 1)[1] for d in m["data"]}, 0
+        live, gone = {d.rsplit("/", 1)[1] for d in [*m["data"], *(p["path"] for i in m["indexes"].values() for p in i["parts"])]}, 0
         for n in self.files.list(base):
-            if n.startswith("data-") and n not in live:
+            if n.startswith(("data-", "index-")) and n not in live:
                 self.files.delete(f"{base}/{n}")
                 gone += 1
         for n in self.files.list(f"{base}/_manifests")[:-1]:

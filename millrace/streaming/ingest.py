@@ -9,14 +9,11 @@ from millrace.sources.store import Store
 
 
 def append_stream(store: Store, table: str, stream: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Append a stream to a table; a batch that was published before a restart is skipped."""
+    """Append a stream to a table. A batch's number is in the manifest that publishes its rows, so a batch that
+    is tried again after a crash is skipped if it was published."""
 
     def publish(batch: DataFrame, number: int) -> None:
-        done = f"{store.current}/{table.lower()}/_stream"
-        if store.files.exists(done) and int(store.files.read(done)) >= number:
-            return
-        store.insert(table, batch)
-        store.files.write(done, str(number))
+        store.insert(table, batch, number)
 
     writer = stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

@@ -130,16 +130,76 @@ def test_indexes(engine):
     engine.sql("CREATE INDEX b ON t (k)")
     engine.sql("CREATE HASH INDEX h ON t (k)")
     engine.sql("CREATE INDEX f ON t (v) USING FULLTEXT")
-    found = engine.store.manifest("t")["indexes"]
+    found = engine.store.manifest("t")
     for name in ("b", "h"):
-        assert values(indexes.point(indexes.read_index(engine.spark, found[name]["path"]), "k", 1)) == [(1, "alpha beta"), (1, "beta")]
-    assert indexes.read_index(engine.spark, found["b"]["path"]).count() == 3
+        (path,) = engine.store.index_paths(found, name)
+        assert values(indexes.point(indexes.read_index(engine.spark, path), "k", 1)) == [(1, "alpha beta"), (1, "beta")]
+    assert indexes.read_index(engine.spark, engine.store.index_paths(found, "b")[0]).count() == 3
     engine.sql("DROP INDEX b ON t")
     assert [r[1] for r in engine.sql("SHOW INDEXES FROM t").collect()] == ["f", "h"]
     with pytest.raises(StoreError):
         engine.sql("DROP INDEX b ON t")
 
 
+def reads(df) -> str:
+    return " ".join(df.inputFiles())
+
+
+def test_queries_read_indexes_that_statements_keep_up(engine):
+    engine.run_script("CREATE TABLE t (k INT, j INT, v TEXT); INSERT INTO t VALUES (1, 1, 'alpha beta'), (1, 2, 'beta'), (2, 3, NULL), (NULL, 4, 'x alpha')")
+    engine.run_script("CREATE INDEX b ON t (k); CREATE INDEX c ON t (j, k); CREATE FULLTEXT INDEX f ON t (v); CREATE INDEX h ON t (j) USING HASH")
+
+    def ask(condition, index, tail=""):
+        df = engine.sql(f"SELECT a.j FROM t AS a WHERE {condition}{tail}")
+        indexed = f"index-{index}-" in reads(df)
+        got = sorted(r[0] for r in df.collect())
+        plain = engine.store.read("t").createOrReplaceTempView("plain")
+        assert plain is None and indexed == bool(index)
+        expected = engine.spark.sql(f"SELECT a.j FROM plain AS a WHERE {engine._matches(condition)}")
+        assert got == sorted(r[0] for r in expected.collect())
+        return got
+
+    def every():
+        return [ask("k = 1", "b"), ask("a.k >= 1 AND v IS NOT NULL", "b"), ask("k BETWEEN 1 AND 5 AND j > 1", "b"), ask("j = 3", "h"), ask("j IN (1, 3)", "h"), ask("j = 1 OR k = 2", ""), ask("j + 1 = 2", "")]
+
+    def match():
+        query = "SELECT j FROM t WHERE MATCH(v) AGAINST('{}'{})"
+        found = engine.sql(query.format("alpha gamma", ""))
+        assert "_place" in found._jdf.queryExecution().optimizedPlan().toString()
+        both = engine.sql(query.format("alpha beta", " IN BOOLEAN MODE"))
+        return sorted(r[0] for r in found.collect()), sorted(r[0] for r in both.collect())
+
+    assert every()[0] == [1, 2] and match() == ([1, 4], [1])
+    engine.run_script("INSERT INTO t VALUES (1, 5, 'gamma'), (9, 6, 'alpha and beta')")
+    assert every()[0] == [1, 2, 5] and match() == ([1, 4, 5, 6], [1, 6])
+    engine.run_script("UPDATE t SET k = 1, v = 'nothing' WHERE j = 4; DELETE FROM t WHERE j = 1")
+    assert every()[0] == [2, 4, 5] and match() == ([5, 6], [6])
+    engine.run_script("BEGIN; INSERT INTO t VALUES (1, 7, 'alpha'); ROLLBACK; VACUUM t; ALTER TABLE t RENAME TO u; ALTER TABLE u RENAME TO t")
+    assert every()[0] == [2, 4, 5] and match() == ([5, 6], [6])
+    engine.run_script("ALTER TABLE t DROP COLUMN v")
+    assert [r["Index"] for r in engine.sql("SHOW INDEXES FROM t").collect()] == ["b", "c", "h"]
+
+
+def test_one_publisher_of_a_version(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from millrace.sources.files import Files
+
+    files = Files(spark, f"file://{tmp_path}")
+    for n in range(20):
+        with ThreadPoolExecutor(4) as pool:
+            won = list(pool.map(lambda i: files.write(f"{n}.json", str(i), new=True), range(4)))
+        assert sum(won) == 1 and files.read(f"{n}.json") == str(won.index(True))
+    assert len(files.list("")) == 20
+
+
+def test_a_batch_is_published_once(engine, spark):
+    engine.sql("CREATE TABLE s (x INT)")
+    rows = spark.createDataFrame([(1,), (2,)], "x int")
+    assert [engine.store.insert("s", rows, batch=b) for b in (0, 0, 1, 0)] == [2, 0, 2, 0]
+    assert engine.store.read("s").count() == 4
+
+
 def test_index_keys(spark):
     dups = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (None, 5)], "k int, rid int")
     assert values(indexes.upsert_last(dups, "k", ["rid"])) == [(1, 11), (2, 20)]
