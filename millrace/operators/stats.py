@@ -44,9 +44,24 @@ def histogram(df: DataFrame, column: str, buckets: int = 10) -> DataFrame:
     return bounds.select(F.posexplode("b").alias("bucket", "bound"))
 
 
+#: Where no histogram is known.
 RANGE_SELECTIVITY = 0.33
 
 
+def selectivity_range(bounds: list, low=None, high=None) -> float:
+    """Share of rows in [low, high], by equi-height ``bounds`` (a bucket between each two) and evenly inside a bucket."""
+    if len(bounds) < 2:
+        return RANGE_SELECTIVITY
+
+    def below(x) -> float:
+        full = 0.0
+        for a, b in zip(bounds, bounds[1:]):
+            full += 1.0 if x >= b else (x - a) / (b - a) if x > a else 0.0
+        return full / (len(bounds) - 1)
+
+    return max(0.0, (1.0 if high is None else below(high)) - (0.0 if low is None else below(low)))
+
+
 def selectivity_eq(distinct: int, common: dict, rows: int, value) -> float:
     """Share of rows equal to ``value``: its frequency if it is a most common value, else an even share of the rest."""
     if not rows or not distinct:

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import exprs, fulltext
 from millrace.operators import indexes, stats
+from millrace.plans.auth import Denied
 from millrace.plans.engine import Engine
 from millrace.sources import exports
 from millrace.sources.shared import new_folder
+from millrace.sources.store import StoreError
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,6 +76,7 @@ PLAIN = {
     "join_multiway": """SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
         JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name""",
     "join_using": "SELECT count(*) AS n FROM (SELECT o_custkey AS k FROM orders) a JOIN (SELECT c_custkey AS k FROM customer) b USING (k)",
+    "join_natural": "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey AS k FROM nation) a NATURAL JOIN (SELECT r_regionkey AS k, r_name FROM region) b",
     "join_comma": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey",
     "join_where_pushdown": "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 150000 AND c_mktsegment = 'MACHINERY'",
     "semi_in_subquery": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)",
@@ -288,6 +291,34 @@ def explain_plan(spark, sf_dir):
     return engine.sql("EXPLAIN SELECT c_name, count(*) FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_name")
 
 
+def stats_histogram(spark, sf_dir):
+    return stats.histogram(table(spark, sf_dir, "customer"), "c_custkey")
+
+
+def selectivity_range(spark, sf_dir):
+    """Whether the estimate from the histogram is within a twentieth of the true share."""
+    df = table(spark, sf_dir, "orders")
+    bounds = [r["bound"] for r in stats.histogram(df, "o_totalprice", 20).orderBy("bucket").collect()]  # 21 bounds
+    share = df.agg(F.avg(F.when(F.col("o_totalprice").between(50_000, 150_000), 1.0).otherwise(0.0))).first()[0]
+    return spark.createDataFrame([(abs(stats.selectivity_range(bounds, 50_000, 150_000) - share) <= 0.05,)], "close boolean")
+
+
+def cost_model(spark, sf_dir):
+    """Costs of plans over the tables' row counts."""
+    n, m = (float(table(spark, sf_dir, t).count()) for t in ("customer", "orders"))
+    scan = stats.seq_scan_cost(n / 100, n, 1)
+    rows = [("scan", scan), ("index", stats.index_scan_cost(n / 100, n, 0.01)), ("loop", stats.nested_loop_cost(scan, 7.0, n, m)), ("hash", stats.hash_join_cost(scan, 7.0, n, m)), ("aggregate", stats.aggregate_cost(scan, n, 5.0)), ("limit", stats.limit_cost(scan, n, 10.0))]
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in rows], "step string, cost double")
+
+
+def join_order(spark, sf_dir):
+    """The order of least cost of three tables: the selective pair first."""
+    relations = [stats.Relation(t, float(table(spark, sf_dir, t).count()), 1.0) for t in ("lineitem", "orders", "customer")]
+    shares = {frozenset(("lineitem", "orders")): 1 / relations[1].rows, frozenset(("orders", "customer")): 1 / relations[2].rows}
+    order, _ = stats.join_order(relations, shares)
+    return spark.createDataFrame([(sorted(order[:2])[0], order[2])], "first string, last string")
+
+
 # Statements over snapshot tables.
 
 CUSTOMER = "c_custkey BIGINT NOT NULL, c_name VARCHAR(64), c_nationkey INT, c_acctbal DOUBLE, c_mktsegment VARCHAR(16) DEFAULT 'NONE'"
@@ -332,7 +363,135 @@ def import_export(kind: str) -> Query:
     return run
 
 
+def ft_remove(spark, sf_dir):
+    gone = table(spark, sf_dir, "documents").filter("lang = 'de'").select(F.col("doc_id").alias("doc"))
+    return fulltext.remove(ft_index(spark, sf_dir), gone).postings
+
+
+def ft_update(spark, sf_dir):
+    new = table(spark, sf_dir, "documents").filter("lang = 'de'").select("doc_id", F.lit("Brand new Text text").alias("text"))
+    return fulltext.update(ft_index(spark, sf_dir), new, "doc_id", "text").postings
+
+
+def ft_document_terms(spark, sf_dir):
+    return fulltext.document_terms(ft_index(spark, sf_dir), 7)
+
+
+def ft_match_index(spark, sf_dir):
+    """MATCH by a FULLTEXT index that later rows have joined."""
+    engine = attached(spark, sf_dir, "documents")
+    engine.run_script("""CREATE DATABASE d; CREATE TABLE docs (doc_id BIGINT, text TEXT); INSERT INTO docs SELECT doc_id, text FROM documents WHERE lang = 'de';
+        CREATE FULLTEXT INDEX f ON docs (text); INSERT INTO docs SELECT doc_id, text FROM documents WHERE lang <> 'de' OR lang IS NULL""")
+    return engine.sql(f"SELECT doc_id FROM docs WHERE MATCH(text) AGAINST('{FT_QUERY}')")
+
+
+def idx_kept_up(spark, sf_dir):
+    """A look-up by an index after INSERT, UPDATE and DELETE."""
+    engine = customers(spark, sf_dir)
+    engine.run_script("""CREATE INDEX k ON c (c_custkey); INSERT INTO c (c_custkey, c_name) VALUES (77, 'again'); UPDATE c SET c_custkey = 77 WHERE c_custkey = 5; DELETE FROM c WHERE c_custkey = 6""")
+    return engine.sql("SELECT c_custkey, c_name FROM c WHERE c_custkey BETWEEN 6 AND 77")
+
+
+def constraints(spark, sf_dir):
+    """What each of some wrong statements fails with; the table stays as it was."""
+    engine = customers(spark, sf_dir)
+    engine.run_script("CREATE TABLE k (id INT PRIMARY KEY, v VARCHAR(3), n SMALLINT CHECK (n > 0)); INSERT INTO k VALUES (1, 'abc', 1)")
+    rows = []
+    for name, statement in {"not null": "INSERT INTO c (c_name) VALUES ('x')", "primary key": "INSERT INTO k VALUES (1, 'b', 2)", "twice": "INSERT INTO k VALUES (2, 'b', 2), (2, 'c', 3)", "length": "INSERT INTO k VALUES (3, 'abcd', 2)", "check": "INSERT INTO k VALUES (4, 'a', -1)", "update": "UPDATE k SET n = 0", "column": "INSERT INTO k (nothing) VALUES (1)", "table": "DELETE FROM nothing", "database": "DROP DATABASE nothing", "index": "DROP INDEX nothing ON k"}.items():
+        try:
+            engine.sql(statement)
+            rows.append((name, "done"))
+        except StoreError as error:
+            rows.append((name, error.kind))
+    return spark.createDataFrame([*rows, ("rows", str(engine.store.read("k").count()))], "statement string, outcome string")
+
+
+def permissions(spark, sf_dir):
+    """Who may do what after GRANT and REVOKE."""
+    engine = customers(spark, sf_dir)
+    engine.run_script("CREATE USER ann IDENTIFIED BY 'a'; CREATE USER bob IDENTIFIED BY 'b' WITH ADMIN; CREATE USER cid IDENTIFIED BY 'c'; GRANT SELECT, DELETE ON d.c TO ann; GRANT ALL ON d.* TO cid; REVOKE DELETE ON d.c FROM ann; ALTER USER ann IDENTIFIED BY 'new'; CREATE USER dan IDENTIFIED BY 'd'; DROP USER dan")
+    rows = []
+    for user in ("ann", "bob", "cid"):
+        for privilege in ("SELECT", "DELETE"):
+            rows.append((user, privilege, engine.users.allowed(user, privilege, "d", "c")))
+    rows += [("ann", "old password", engine.users.authenticate("ann", "a")), ("ann", "new password", engine.users.authenticate("ann", "new")), ("dan", "password", engine.users.authenticate("dan", "d"))]
+    engine.user = "ann"
+    for statement in ("SELECT * FROM c", "DELETE FROM c"):
+        try:
+            engine.sql(statement)
+            rows.append(("ann", statement, True))
+        except Denied:
+            rows.append(("ann", statement, False))
+    return spark.createDataFrame(rows, "user string, what string, may boolean")
+
+
+def result_cache(spark, sf_dir):
+    """A cached result is used again until its table changes."""
+    engine, counts = customers(spark, sf_dir), []
+    sql = "SELECT count(*) AS n FROM c"
+    for statement in (None, None, "INSERT INTO c (c_custkey) VALUES (-1)", None):
+        if statement:
+            engine.sql(statement)
+        counts.append((engine.query(sql, cached=True).first()[0], engine.cache.hits, engine.cache.misses))
+    engine.cache.invalidate()
+    return spark.createDataFrame(counts, "n long, hits int, misses int")
+
+
+def script(spark, sf_dir):
+    """A script with comments, and semicolons in strings; statements slower than 0 ms are logged."""
+    engine = customers(spark, sf_dir)
+    engine.slow_ms = 0
+    engine.run_script("-- a comment; not a statement\nCREATE TABLE s (v TEXT); /* ; */ INSERT INTO s VALUES ('a;b'), ('--c');")
+    return engine.sql(f"SELECT v, {len(engine.slow)} AS logged FROM s")
+
+
+def export_statement(spark, sf_dir):
+    engine = customers(spark, sf_dir)
+    path = f"{new_folder(spark, 'export')}.json"
+    engine.run_script(f"EXPORT SELECT * FROM c TO '{path}' FORMAT JSON; CREATE TABLE back ({CUSTOMER}); IMPORT INTO back FROM '{path}'; SAVE")
+    return engine.sql("SELECT * FROM back")
+
+
+LATER = {
+    "drop_table": after("CREATE TABLE x (a INT)", "DROP TABLE x", "DROP TABLE IF EXISTS x", select="SHOW TABLES"),
+    "drop_database": after("CREATE DATABASE e", "DROP DATABASE e", "DROP DATABASE IF EXISTS e", select="SHOW DATABASES"),
+    "drop_index": after("CREATE INDEX i ON c (c_custkey)", "CREATE INDEX j ON c (c_name)", "DROP INDEX i ON c", "DROP INDEX IF EXISTS i ON c", select="SHOW INDEXES FROM c"),
+    "use_database": after("CREATE DATABASE e", "USE e", "CREATE TABLE only_here (a INT)", select="SHOW TABLES"),
+    "rename_table": after("ALTER TABLE c RENAME TO moved", select="SELECT * FROM moved"),
+    "current_timestamp_default": after("CREATE TABLE t (k BIGINT, at TIMESTAMP DEFAULT CURRENT_TIMESTAMP)", "INSERT INTO t (k) SELECT c_custkey FROM customer", select="SELECT count(*) AS n, count(at) AS stamped FROM t"),
+}
+
+
+def analyzed(column: str) -> str:
+    return f"SELECT 'c' AS table_name, '{column}' AS column_name, count(*) AS row_count, count(*) - count({column}) AS null_count, count(DISTINCT {column}) AS distinct_count, CAST(min({column}) AS VARCHAR) AS min_value, CAST(max({column}) AS VARCHAR) AS max_value FROM customer"
+
+
 FUNCTIONS: dict[str, tuple[Query, str | None]] = {
+    "ft_remove": (ft_remove, f"WITH {DUCK_POSTINGS} SELECT p.* FROM p JOIN documents ON doc = doc_id WHERE lang IS DISTINCT FROM 'de'"),
+    "ft_update": (ft_update, f"WITH {DUCK_POSTINGS} SELECT p.* FROM p JOIN documents ON doc = doc_id WHERE lang IS DISTINCT FROM 'de' UNION ALL SELECT term, doc_id, tf FROM documents, (VALUES ('brand', 1), ('new', 1), ('text', 2)) AS w(term, tf) WHERE lang = 'de'"),
+    "ft_document_terms": (ft_document_terms, f"WITH {DUCK_POSTINGS} SELECT term, tf FROM p WHERE doc = 7"),
+    "ft_match_index": (ft_match_index, f"WITH {DUCK_POSTINGS} SELECT DISTINCT doc AS doc_id FROM p WHERE term IN ('idiot', 'license', 'benchmark')"),
+    "idx_kept_up": (idx_kept_up, "SELECT c_custkey, c_name FROM customer WHERE c_custkey BETWEEN 7 AND 77 UNION ALL SELECT 77, c_name FROM customer WHERE c_custkey = 5 UNION ALL SELECT 77, 'again'"),
+    "stats_histogram": (stats_histogram, "SELECT unnest(range(11)) AS bucket, unnest(quantile_disc(c_custkey, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])) AS bound FROM customer"),
+    "selectivity_range": (selectivity_range, "SELECT true AS close"),
+    "cost_model": (
+        cost_model,
+        """WITH t AS (SELECT (SELECT count(*) FROM customer)::DOUBLE AS n, (SELECT count(*) FROM orders)::DOUBLE AS m), s AS (SELECT n, m, n / 100 + n * 0.01::DOUBLE + n * 0.005::DOUBLE AS scan FROM t)
+        SELECT step, round(cost, 6) AS cost FROM (SELECT 'scan' AS step, scan AS cost FROM s UNION ALL SELECT 'index', least(n * 0.01, n / 100) * 4 + n * 0.01 * 0.03 FROM s UNION ALL SELECT 'loop', scan + n * 7 + n * m * 0.005::DOUBLE FROM s
+        UNION ALL SELECT 'hash', scan + 7 + least(n, m) * 0.0101::DOUBLE + greatest(n, m) * 0.005::DOUBLE FROM s UNION ALL SELECT 'aggregate', scan + n * 0.005::DOUBLE + 5 * 0.0101::DOUBLE FROM s UNION ALL SELECT 'limit', scan * 10 / n FROM s)""",
+    ),
+    "join_order": (join_order, "SELECT 'customer' AS first, 'lineitem' AS last"),
+    "constraints": (constraints, "SELECT * FROM (VALUES ('not null', 'CONSTRAINT_VIOLATION'), ('primary key', 'CONSTRAINT_VIOLATION'), ('twice', 'CONSTRAINT_VIOLATION'), ('length', 'CONSTRAINT_VIOLATION'), ('check', 'CONSTRAINT_VIOLATION'), ('update', 'CONSTRAINT_VIOLATION'), ('column', 'COLUMN_NOT_FOUND'), ('table', 'TABLE_NOT_FOUND'), ('database', 'DATABASE_NOT_FOUND'), ('index', 'INDEX_NOT_FOUND'), ('rows', '1')) AS t(statement, outcome)"),
+    "permissions": (permissions, "SELECT * FROM (VALUES ('ann', 'SELECT', true), ('ann', 'DELETE', false), ('bob', 'SELECT', true), ('bob', 'DELETE', true), ('cid', 'SELECT', true), ('cid', 'DELETE', true), ('ann', 'old password', false), ('ann', 'new password', true), ('dan', 'password', false), ('ann', 'SELECT * FROM c', true), ('ann', 'DELETE FROM c', false)) AS t(\"user\", what, may)"),
+    "result_cache": (result_cache, "SELECT count(*) AS n, 0 AS hits, 1 AS misses FROM customer UNION ALL SELECT count(*), 1, 1 FROM customer UNION ALL SELECT count(*) + 1, 1, 2 FROM customer UNION ALL SELECT count(*) + 1, 2, 2 FROM customer"),
+    "script": (script, "SELECT v, 2 AS logged FROM (VALUES ('a;b'), ('--c')) AS t(v)"),
+    "export_statement": (export_statement, "SELECT * FROM customer"),
+    "drop_table": (LATER["drop_table"], "SELECT 'c' AS \"Table\""),
+    "drop_database": (LATER["drop_database"], "SELECT 'd' AS \"Database\""),
+    "drop_index": (LATER["drop_index"], """SELECT 'c' AS "Table", 'j' AS "Index", 'c_name' AS "Columns", 'BTREE' AS "Type", false AS "Unique" """),
+    "use_database": (LATER["use_database"], "SELECT 'only_here' AS \"Table\""),
+    "rename_table": (LATER["rename_table"], "SELECT * FROM customer"),
+    "current_timestamp_default": (LATER["current_timestamp_default"], "SELECT count(*) AS n, count(*) AS stamped FROM customer"),
     "string_compare_mixed": (string_compare_mixed, "SELECT p_partkey, CAST(p_size AS VARCHAR) < '9' AS less, CAST(p_size AS VARCHAR) = '9' AS same FROM part"),
     "dialect_null_safe": (dialect_null_safe, "SELECT c_custkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL AND c_nationkey IS DISTINCT FROM 3"),
     "ft_tokenize": (ft_tokenize, f"SELECT doc_id, array_to_string({DUCK_TOKENS}, ' ') AS tokens FROM documents"),
@@ -373,10 +532,10 @@ FUNCTIONS: dict[str, tuple[Query, str | None]] = {
     "alter_rename_column": (after("ALTER TABLE c RENAME COLUMN c_name TO full_name"), "SELECT c_custkey, c_name AS full_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"),
     "alter_modify_column": (after("ALTER TABLE c MODIFY COLUMN c_nationkey BIGINT"), "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"),
     "vacuum": (after("DELETE FROM c WHERE c_acctbal < 0", "VACUUM c"), "SELECT * FROM customer WHERE NOT coalesce(c_acctbal < 0, false)"),
-    "analyze": (after(select="ANALYZE TABLE c"), None),
+    "analyze": (after(select="ANALYZE TABLE c"), " UNION ALL ".join(map(analyzed, ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")))),
     "show_tables": (show_tables, "SELECT 'c' AS \"Table\""),
     "show_databases": (after(select="SHOW DATABASES"), "SELECT 'd' AS \"Database\""),
-    "describe": (after(select="DESCRIBE c"), None),
+    "describe": (after(select="DESCRIBE c"), """SELECT * FROM (VALUES ('c_custkey', 'BIGINT', 'NO', '', NULL, ''), ('c_name', 'VARCHAR(64)', 'YES', '', NULL, ''), ('c_nationkey', 'INT', 'YES', '', NULL, ''), ('c_acctbal', 'DOUBLE', 'YES', '', NULL, ''), ('c_mktsegment', 'VARCHAR(16)', 'YES', '', '''NONE''', '')) AS t("Field", "Type", "Null", "Key", "Default", "Extra")"""),
     "show_indexes": (after("CREATE UNIQUE INDEX i ON c (c_custkey)", "CREATE FULLTEXT INDEX f ON c (c_name)", select="SHOW INDEXES FROM c"), """SELECT 'c' AS "Table", 'i' AS "Index", 'c_custkey' AS "Columns", 'BTREE' AS "Type", true AS "Unique" UNION ALL SELECT 'c', 'f', 'c_name', 'FULLTEXT', false"""),
     "export_csv": (import_export("csv"), "SELECT * FROM customer"),
     "export_json": (import_export("json"), "SELECT * FROM customer"),
