@@ -266,6 +266,28 @@ def test_a_leak_in_most_documents_is_found(spark):
     assert decontamination.clean(df, spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_seeds_with_a_full_filter_odd_ids_and_repeated_words(spark):
+    from datetime import date
+
+    docs, items = leaks()
+    docs = docs[40:70] + [(400, "a " * 500), (401, "b b b c " + "a " * 30), (402, "d e")] + docs[60:61]
+    items = [(date(2020, 1, 1 + i), t) for i, t in items[:20]] + [(date(2021, 1, 1), "a " * 40), (date(2021, 1, 2), "e"), (None, "b B, b c")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id date, text string")
+    runs = [decontamination.contaminated(df, bench, filter_bits=bits).collect() for bits in (64, 1 << 27)]
+    assert sorted(map(repr, runs[0])) == sorted(map(repr, runs[1]))
+    expected = Counter()
+    for d, t in docs:
+        for i, q in items:
+            a, b = decontamination.tokens(q), decontamination.tokens(t)
+            if (score := slow_alignment(a, b) / (2 * len(a))) >= 0.6:
+                expected[d, i, round(score, 4)] += 1
+    assert Counter((r["doc_id"], r["item_id"], r["score"]) for r in runs[0]) == expected and max(expected.values()) == 2
+    for r in runs[0]:
+        if r["item_id"] is None:
+            assert (r["first_word"], r["last_word"]) == (0, 3)
+
+
 # Chat
 
 
