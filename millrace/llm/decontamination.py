@@ -37,8 +37,15 @@ from millrace.llm.common import materialize, read_table
 TOKEN = re.compile(r"[^\W_]+")
 
 
+#: ASCII letters and digits as they are, other bytes as spaces: for ASCII texts what TOKEN finds, four times as fast.
+SPACED = bytes(c if c < 128 and chr(c).isalnum() else 32 for c in range(256))
+
+
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.lower()) if text else []
+    if not text:
+        return []
+    text = text.lower()
+    return text.encode().translate(SPACED).decode().split() if text.isascii() else TOKEN.findall(text)
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
@@ -68,17 +75,8 @@ STEP, STIR = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SLOTS = 1 << 16
 
 
-class Numbers(dict):
-    """Word -> 64-bit hash, remembered for at most about a million words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return out
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def gram_hashes(numbers: np.ndarray, n: int) -> np.ndarray:
@@ -136,12 +134,12 @@ def filter_of(grams: DataFrame, filter_bits: int) -> Filter:
     return out
 
 
-def _hits(texts: list, lengths: list[int], wanted: Filter, remembered: Numbers):
+def _hits(texts: list, lengths: list[int], wanted: Filter):
     """(word hashes, first word of each text, hits' texts, places and hashes) of some texts laid end to end."""
     words = [tokens(t) for t in texts]
     ends = np.cumsum([len(w) for w in words])
     firsts = ends - [len(w) for w in words]
-    numbers = remembered.of([w for found in words for w in found])
+    numbers = word_hashes([w for found in words for w in found])
     owner = np.repeat(np.arange(len(texts)), ends - firsts)
     at, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for n in lengths:
@@ -194,9 +192,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least:
     key_type = documents.schema[key].dataType.simpleString()
 
     def number(batches):
-        remembered = Numbers()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([remembered.of(tokens(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["_i", "_w"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([word_hashes(tokens(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["_i", "_w"])
 
     listed = materialize(benchmark.select(F.monotonically_increasing_id().alias("i"), F.col(item).alias("id"), F.col(item_text).cast("string").alias("t")), "items")
     words = listed.select("i", "t").mapInArrow(number, "_i long, _w binary").filter(F.length("_w") > 0)
@@ -208,9 +205,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least:
     known = filter_of(grams, filter_bits)
 
     def count(batches):
-        remembered = Numbers()
         for (texts,) in _runs(batches, 0):
-            _, _, _, owner, _, codes = _hits(texts, lengths, known, remembered)
+            _, _, _, owner, _, codes = _hits(texts, lengths, known)
             if not len(codes):
                 continue
             order = np.lexsort((owner, codes))
@@ -229,9 +225,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least:
     wanted = filter_of(seeds.withColumnRenamed("_g", "g"), filter_bits)
 
     def cut(batches):
-        remembered = Numbers()
         for keys, texts, md5s in _runs(batches, 1):
-            numbers, firsts, ends, owner, at, codes = _hits(texts, lengths, wanted, remembered)
+            numbers, firsts, ends, owner, at, codes = _hits(texts, lengths, wanted)
             out: list[list] = [[] for _ in range(6)]
             order = np.lexsort((at, owner))
             owner, at, codes = owner[order], at[order], codes[order]
@@ -267,6 +262,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least:
             for j, (a, part, data, found) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "part", "words", "met")))):
                 words, passage = np.frombuffer(data, np.uint64), np.frombuffer(part, np.uint64)
                 for start, end in stretches(found, a, len(words), len(passage)):
+                    if np.isin(words, passage[start:end]).sum() < least * len(words):
+                        continue  # an alignment scores 2 at most for each of the item's words that is there
                     score, first, last = smith_waterman(words, passage[start:end])
                     if score >= least * 2 * len(words):
                         for column, value in zip((kept, scores, firsts, lasts), (j, round(score / (2 * len(words)), 4), a + start + first, a + start + last - 1)):
@@ -275,7 +272,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least:
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(scores, pa.float64()), pa.array(firsts, pa.int64()), pa.array(lasts, pa.int64())], names=[key, "text_md5", item, "score", "first_word", "last_word"])
 
     item_type = benchmark.schema[item].dataType.simpleString()
-    return pairs.select("k", "text_md5", "id", "a", "part", "words", "met").mapInArrow(align, f"`{key}` {key_type}, text_md5 string, `{item}` {item_type}, score double, first_word long, last_word long")
+    tasks = max(documents.sparkSession.sparkContext.defaultParallelism, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.select("k", "text_md5", "id", "a", "part", "words", "met", "_r").repartition(tasks, "_r").drop("_r")  # aligning takes time, not bytes
+    return pairs.mapInArrow(align, f"`{key}` {key_type}, text_md5 string, `{item}` {item_type}, score double, first_word long, last_word long")
 
 
 def stretches(met: list[dict], start: int, size: int, length: int):
