@@ -3,9 +3,12 @@ tables, and ordered prefix sums that never put a whole group into one task."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import math
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,5 +98,20 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     return added.drop("_v", "_in", "_at", "_base", "_first", *(f"_k{i}" for i in range(len(keys))))
 
 
+def trimmed(work):
+    """``work`` over batches, after which the Python worker gives free memory back to the system: it is kept for
+    later tasks, and what it holds idle is missing in stages that need none."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

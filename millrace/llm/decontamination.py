@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.common import materialize, read_table
+from millrace.llm.common import materialize, read_table, trimmed
 
 TOKEN = re.compile(r"[^\W_]+")
 
@@ -215,7 +215,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least:
             unique, times = np.unique(codes[new], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(times.astype(np.int64))], names=["_g", "c"])
 
-    counts = rows.select(text).mapInArrow(count, "_g long, c long").groupBy("_g").agg(F.sum("c").alias("c"))
+    counts = rows.select(text).mapInArrow(trimmed(count), "_g long, c long").groupBy("_g").agg(F.sum("c").alias("c"))
     counted = materialize(grams.join(counts, F.col("g") == F.col("_g"), "left").select("i", "size", "g", "places", F.coalesce("c", F.lit(0)).alias("c")), "gram-counts")
     few = 50 + documents.count() // 10_000
     middle = counted.groupBy(F.col("i").alias("_i")).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY c)").alias("_middle"))
@@ -250,7 +250,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["k", "text_md5", "a", "part", "gs", "ps"])
 
     types_of_key = to_arrow_type(documents.schema[key].dataType)
-    regions = rows.mapInArrow(cut, f"k {key_type}, text_md5 string, a long, part binary, gs array<long>, ps array<array<long>>")
+    regions = rows.mapInArrow(trimmed(cut), f"k {key_type}, text_md5 string, a long, part binary, gs array<long>, ps array<array<long>>")
     regions = materialize(regions.withColumn("r", F.monotonically_increasing_id()), "seed-regions")
     hits = regions.select("r", F.explode(F.arrays_zip("gs", "ps")).alias("h")).select("r", F.col("h.gs").alias("g"), F.col("h.ps").alias("at"))
     met = hits.join(seeds, F.col("g") == F.col("_g")).groupBy(F.col("r").alias("_r"), F.col("i").alias("_i")).agg(F.collect_list(F.struct("at", "places")).alias("met"))
@@ -274,7 +274,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 3, least:
     item_type = benchmark.schema[item].dataType.simpleString()
     tasks = max(documents.sparkSession.sparkContext.defaultParallelism, int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = pairs.select("k", "text_md5", "id", "a", "part", "words", "met", "_r").repartition(tasks, "_r").drop("_r")  # aligning takes time, not bytes
-    return pairs.mapInArrow(align, f"`{key}` {key_type}, text_md5 string, `{item}` {item_type}, score double, first_word long, last_word long")
+    return pairs.mapInArrow(trimmed(align), f"`{key}` {key_type}, text_md5 string, `{item}` {item_type}, score double, first_word long, last_word long")
 
 
 def stretches(met: list[dict], start: int, size: int, length: int):

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, numbered_by, read_table
+from millrace.llm.common import materialize, numbered_by, read_table, trimmed
 from millrace.llm.components import components, local_roots, named
 
 #: Set bits of each byte value, by bit.
@@ -209,7 +209,7 @@ def text_marks(documents: DataFrame, key: str, text: str, words: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, types))], names=["k", "x", "t1", "t2", "n", "bands", "marks"])
 
     rows = documents.select(F.col(key), text_hash(text), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"k {rows.schema[0].dataType.simpleString()}, x long, t1 long, t2 long, n long, bands array<long>, marks binary")
+    return rows.mapInArrow(trimmed(run), f"k {rows.schema[0].dataType.simpleString()}, x long, t1 long, t2 long, n long, bands array<long>, marks binary")
 
 
 def text_hash(text: str) -> Column:
@@ -229,7 +229,7 @@ def shingle_sets(documents: DataFrame, wanted: DataFrame, text: str, words: int)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))], names=["uid", "shingles"])
 
     texts = documents.select(text_hash(text), F.col(text).cast("string").alias("text")).join(wanted.withColumnRenamed("x", "_x"), F.col("x") == F.col("_x"))
-    return texts.select("uid", "text").dropDuplicates(["uid"]).mapInArrow(run, "uid long, shingles array<long>")
+    return texts.select("uid", "text").dropDuplicates(["uid"]).mapInArrow(trimmed(run), "uid long, shingles array<long>")
 
 
 def similar_pairs(pairs: DataFrame, least: float) -> DataFrame:
@@ -243,7 +243,7 @@ def similar_pairs(pairs: DataFrame, least: float) -> DataFrame:
                 same = ((a == b) & (a > 0)).sum(1)
                 yield batch.select(["u", "v"]).filter(pa.array(same >= least * np.maximum(used, 1)))
 
-    return pairs.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.select("u", "v", "a", "b").mapInArrow(trimmed(run), "u long, v long")
 
 
 def exact_pairs(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float, words: int, text: str) -> DataFrame:

@@ -25,8 +25,6 @@ collision the table is made again with another seed.
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import hashlib
 import uuid
 
@@ -36,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, new_path, read_table
+from millrace.llm.common import materialize, new_path, read_table, trimmed
 
 WIDTH, GRAM = 200, 64
 #: Grams in a window.
@@ -208,20 +206,6 @@ def _equal_bytes(differ: np.ndarray, guess: np.ndarray) -> np.ndarray:
     return out + wrong
 
 
-def trimmed(work):
-    """``work`` over batches, after which the Python worker gives free memory back to the system."""
-
-    def run(batches):
-        try:
-            yield from work(batches)
-        finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-    return run
-
-
 class Shard:
     """Segments of windows and their suffix array; ``repeated`` flags each segment's windows."""
 

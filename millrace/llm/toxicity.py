@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import materialize, read_table
+from millrace.llm.common import materialize, read_table, trimmed
 
 WORDS = re.compile(r"\w+")
 FOLDS = 3
@@ -132,7 +132,7 @@ def fit_chain(documents: DataFrame, labels: DataFrame, categories: list[str], sa
 
     shape = T.StructType([T.StructField("_k", T.StringType()), T.StructField("_b", T.StringType()), T.StructField("_o", T.LongType()), *(T.StructField(y, T.IntegerType()) for y in ys), T.StructField("f", T.ArrayType(T.LongType()))])
     once = once.groupBy("_k").agg(F.min(F.struct("_o", "_b", "_text", *ys)).alias("s")).select("_k", "s.*")
-    rows = materialize(once.mapInArrow(features, shape).withColumn("fold", F.pmod(F.xxhash64("_b"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    rows = materialize(once.mapInArrow(trimmed(features), shape).withColumn("fold", F.pmod(F.xxhash64("_b"), F.lit(FOLDS)).cast("int")), "toxicity-sample")
     seen = rows.select("fold", *ys, F.explode("f").alias("h"))
     labelled = rows.groupBy("fold").agg(*(F.sum(F.when(F.col(y) == v, 1).otherwise(0)).alias(f"{y}{v}") for y in ys for v in (0, 1))).collect()
     size = {(y, v, k): sum(r[f"{y}{v}"] for r in labelled if r["fold"] != k) for y in ys for v in (0, 1) for k in (None, *range(FOLDS))}
@@ -206,7 +206,7 @@ def score(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
             added = [pa.array([p[i] for p in found], pa.float64()) for i in range(len(results))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=shape.names)
 
-    return kept.mapInArrow(run, shape)
+    return kept.mapInArrow(trimmed(run), shape)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, categories: tuple[str, ...] = ("quality", "toxic"), reject: str = "toxic", threshold: float = 0.5, **fit) -> DataFrame:
