@@ -11,6 +11,10 @@ words are reached. The sample is drawn in three strata of size (from the source'
 quarter of it, below), each correcting what the larger ones over- or undershot, so a source misses its
 target by about half of one small document.
 
+Rows of one id (or none) have one hash. More than ``CROWD`` of them are ordered by a hash of the text, and
+those of one text by a hash of their place in the written table, so that no window holds them all; up to that
+number they follow by size, as the SQL has it.
+
 Cases: null text counts no words, null is a source of its own and comes last, documents of no words
 are taken zero words, repeated rows count each, an empty table gives no rows. Each source is one
 row in the table of sources, which is ordered in one task; documents never are.
@@ -24,6 +28,9 @@ from pyspark.sql.window import Window
 
 from millrace.llm.common import WORD, bucket_bits, materialize, prefix_sums, read_table
 
+#: Rows of one id, and of one id and text, that are ordered in one window at most.
+CROWD = 8000
+
 
 def water_fill(sources: DataFrame, epochs: int, total: Column) -> DataFrame:
     """Add ``target`` to (source, source_size, weight): least(cap, level x weight), summing to ``total``."""
@@ -47,10 +54,32 @@ def mix(documents: DataFrame, epochs: int = 3, weights: tuple[int, ...] = (1, 2,
     carry = carry or []
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     order = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 16)
-    rows = materialize(documents.select(F.col(key), "source", size.alias("size"), order.alias("_h"), *carry), "mix")
+    rows = materialize(documents.select(F.col(key), "source", size.alias("size"), order.alias("_h"), F.xxhash64("text").alias("_i"), *carry), "mix")
     return mix_sizes(rows, epochs, weights, key, carry)
 
 
+def bucketed(rows: DataFrame, bits: int) -> DataFrame:
+    """Add the bucket ``_b`` to written ``rows`` (_h, _i): the first digits of ``_h``, and for a crowd of rows
+    with one ``_h`` all of them and digits of ``_i``, or of the row's place where ``_i`` is one, too."""
+    first = F.substring("_h", 1, -(-bits // 4)) if bits else F.lit("")
+    full = materialize(rows.groupBy(first.alias("_f")).agg(F.count("*").alias("_n")).filter(F.col("_n") > CROWD).select("_f"), "mix-full")
+    if full.isEmpty():
+        return rows.withColumn("_b", first)
+    held = materialize(rows.join(full, first == F.col("_f"), "left_semi").groupBy("_h", "_i").agg(F.count("*").alias("_n")), "mix-held")
+    ids = held.groupBy(F.col("_h").alias("_ch")).agg(F.sum("_n").alias("_all")).filter(F.col("_all") > CROWD)
+    texts = held.filter(F.col("_n") > CROWD).select(F.col("_h").alias("_th"), F.col("_i").alias("_ti"), F.col("_n").alias("_same"))
+
+    def digits(value: Column, count: Column) -> Column:
+        """As many digits of ``value`` as leave about 1000 of ``count`` rows in a bucket."""
+        return F.lpad(F.hex(value), 16, "0").substr(F.lit(1), F.ceil(F.log(16.0, count / 1000)).cast("int"))
+
+    spread = rows.withColumn("_place", F.xxhash64("_i", F.col("_metadata.row_index")))
+    spread = spread.join(ids, F.col("_h") == F.col("_ch"), "left").join(texts, (F.col("_h") == F.col("_th")) & (F.col("_i") == F.col("_ti")), "left")
+    crowd = F.when(F.col("_same").isNull(), digits(F.col("_i"), F.col("_all"))).otherwise(F.concat(F.lpad(F.hex("_i"), 16, "0"), digits(F.col("_place"), F.col("_same"))))
+    bucket = F.when(F.col("_all").isNull(), first).otherwise(F.concat("_h", crowd))
+    return spread.withColumn("_b", bucket).drop("_place", "_ch", "_all", "_th", "_ti", "_same")
+
+
 def mix_sizes(rows: DataFrame, epochs: int, weights: tuple[int, ...], key: str, carry: list[str]) -> DataFrame:
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
     everything = Window.partitionBy()
@@ -62,9 +91,9 @@ def mix_sizes(rows: DataFrame, epochs: int, weights: tuple[int, ...], key: str,
     sources = materialize(sources.withColumn("mean", F.col("source_size") / F.col("_n")).withColumnRenamed("source", "_source").drop("_n"), "mix-sources")
 
     bits = bucket_bits(rows.count())
-    known = rows.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    known = bucketed(rows, bits).drop("_i").join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     stratum = F.when(F.col("size") >= F.col("mean"), 0).when(F.col("size") >= F.col("mean") / 4, 1).otherwise(2)
-    known = known.withColumn("_t", stratum).withColumn("_b", F.substring("_h", 1, -(-bits // 4)) if bits else F.lit(""))
+    known = known.withColumn("_t", stratum)
     known = materialize(prefix_sums(known, ["source", "_t"], "_b", ["_h", key, "size", *carry], "size", "_start"), "mix-order")
     budget, owed, in_all = [], F.lit(0.0), F.lit(0)
     middle = F.col("_start") + F.col("size") / 2

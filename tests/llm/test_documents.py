@@ -358,6 +358,25 @@ def test_mixing_targets(spark):
     assert mixing.mix(df.limit(0)).collect() == [] and {r["taken"] for r in mixing.mix(df.filter("text = ''")).collect()} <= {0}
 
 
+def test_mixing_crowds_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CROWD", 1500)
+    rng = random.Random(9)
+    rows = [(None, f"s{i % 3}", " w" * rng.randint(1, 60)) for i in range(6000)] + [(7, "s1", "one text of all")] * 5000 + [(100 + i, "s2", " v" * rng.randint(0, 30)) for i in range(3000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.mix(df).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in found) == Counter((d, s, len(t.split())) for d, s, t in rows)
+    for s in ("s0", "s1", "s2"):
+        mine = [r for r in found if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 60 and all(r["taken"] <= 3 * r["size"] for r in mine)
+    hashed = mixing.materialize(df.select("*", F.substring(F.md5(F.concat(F.lit("8:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 16).alias("_h"), F.xxhash64("text").alias("_i")), "hashed")
+    kept = mixing.bucketed(hashed, 4)
+    assert kept.count() == len(rows) and kept.groupBy("_b").count().agg(F.max("count")).first()[0] <= 1500
+    monkeypatch.setattr(mixing, "CROWD", 10**9)
+    plain = mixing.mix(df).collect()
+    assert {(r["source"], r["target"]) for r in plain} == {(r["source"], r["target"]) for r in found}
+
+
 def brute_moved(supplies, capacities):
     """Fewest bytes moved, by linear reasoning: what stays is at most min(old, new) of each shard."""
     return sum(supplies) - sum(min(s, c) for s, c in zip(supplies, capacities))
