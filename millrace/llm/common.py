@@ -98,6 +98,13 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[str],
     return added.drop("_v", "_in", "_at", "_base", "_first", *(f"_k{i}" for i in range(len(keys))))
 
 
+def slices(batches, rows: int = 256):
+    """The rows of ``batches`` in small batches, so that a worker holds few texts as objects and sends few at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def trimmed(work):
     """``work`` over batches, after which the Python worker gives free memory back to the system: it is kept for
     later tasks, and what it holds idle is missing in stages that need none."""

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, numbered_by, read_table, trimmed
+from millrace.llm.common import materialize, numbered_by, read_table, slices, trimmed
 from millrace.llm.components import components, local_roots, named
 
 #: Set bits of each byte value, by bit.
@@ -196,7 +196,7 @@ def text_marks(documents: DataFrame, key: str, text: str, words: int) -> DataFra
 
     def run(batches):
         known: dict[bytes, int] = {}
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in range(5)]
             for t in batch.column(2).to_pylist():
                 data = (t or "").encode()

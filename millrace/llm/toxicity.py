@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import materialize, read_table, trimmed
+from millrace.llm.common import materialize, read_table, slices, trimmed
 
 WORDS = re.compile(r"\w+")
 FOLDS = 3
@@ -201,7 +201,7 @@ def score(documents: DataFrame, chain: Chain, text: str = "text") -> DataFrame:
 
     def run(batches):
         memo = Memo(chain.columns)
-        for batch in batches:
+        for batch in slices(batches):
             found = [chain.predict(sorted(text_features(t, memo))) for t in batch.column(place).to_pylist()]
             added = [pa.array([p[i] for p in found], pa.float64()) for i in range(len(results))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=shape.names)
