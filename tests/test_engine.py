@@ -326,6 +326,15 @@ def test_statistics_and_costs(spark):
     assert stats.index_scan_cost(1000, 1e5, 1e-4) < stats.seq_scan_cost(1000, 1e5) and stats.sort_cost(10) < stats.sort_cost(1e6)
 
 
+@pytest.mark.parametrize("n", [0, 1, 7, 60_000])
+def test_histogram_bounds_are_exact(spark, n):
+    """Above some 10,000 values an approximate percentile is off; ranks are those of DuckDB's quantile_disc."""
+    df = spark.range(n).select(F.when(F.col("id") % 9 == 0, F.col("id") % 700).when(F.col("id") % 5 > 0, F.pmod(F.xxhash64("id"), F.lit(10**9))).alias("k"))
+    have = sorted(r[0] for r in df.collect() if r[0] is not None)
+    ranks = [max(1, -(-len(have) * i // 10)) for i in range(11)]
+    assert sorted(values(stats.histogram(df, "k"))) == [(i, have[r - 1] if have else None) for i, r in enumerate(ranks)]
+
+
 def test_outfile_explain_analyze_slow(engine, tmp_path):
     engine.slow_ms = 0
     engine.run_script("CREATE TABLE t (a INT); INSERT INTO t VALUES (1)")
