@@ -2,7 +2,8 @@
 
 Rows sit in old shards; new shards have byte capacities. A flow from old to new shards, where a
 byte that stays costs nothing and a byte that moves costs one, gives the block transfers that move
-the fewest bytes; rows then follow the blocks, and only shards that gain or lose rows are rewritten.
+the fewest bytes; rows then follow the blocks, and only shards that gain or lose rows are rewritten. The documents
+have no shards to begin with, so ``reshard_documents`` writes old ones first, by a hash of the source.
 
 The flow is solved on the driver. Its size is old shards x new shards, whatever the data hold.
 
@@ -23,11 +24,11 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import bucket_bits, materialize, prefix_sums, read_table
+from millrace.llm.common import bucket_bits, materialize, new_path, prefix_sums, read_table
 
 
 def min_cost_flow(supplies: list[int], capacities: list[int], cost) -> dict[tuple[int, int], int]:
@@ -174,36 +175,72 @@ def reshard(rows: DataFrame, n_new: int = 40, key: str = "doc_id", size: str = "
     return new.withColumn("moved", ~F.col("shard").eqNullSafe(F.col(old))).drop("_h", "_b")
 
 
-def write_shards(assigned: DataFrame, path: str) -> None:
-    """Write rows as ``path/shard=N``, in slot order; a shard may be more than one task and file, each a range of slots."""
-    assigned.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(assigned: DataFrame, path: str, ranges: bool = True) -> None:
+    """Write rows as ``path/shard=N``, in slot order; a shard may be more than one task and file, each a range of slots.
+
+    Without ``ranges`` rows stay in the tasks they are in, which saves a shuffle: files are in slot order each, but their slots interleave.
+    """
+    dealt = assigned.repartitionByRange("shard", "slot") if ranges else assigned
+    dealt.sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
-def rewrite_shards(spark: SparkSession, old_path: str, assigned: DataFrame, new_path: str, old: str = "old_shard") -> DataFrame:
+def rewrite_shards(spark: SparkSession, old_path: str, assigned: DataFrame, new_path: str, old: str = "old_shard", placed: DataFrame | None = None, ranges: bool = True) -> DataFrame:
     """Rewrite only the shards that gain or lose rows to ``new_path``; others stay under ``old_path``.
 
-    Returns a manifest (shard, path, rewritten), a row for each new shard that holds rows.
+    Returns a manifest (shard, path, rewritten), a row for each new shard that holds rows. ``placed`` may be a narrow
+    table of the same rows (shard, old, moved), read to tell the shards; for ``ranges`` see ``write_shards``.
     """
-    touched = assigned.filter("moved").select(F.explode(F.array("shard", F.col(old).cast("int"))).alias("shard")).distinct()
+    placed = assigned if placed is None else placed
+    touched = placed.filter("moved").select(F.explode(F.array("shard", F.col(old).cast("int"))).alias("shard")).distinct()
     names = {r[0] for r in touched.collect()}  # shard numbers
-    write_shards(assigned.filter(F.col("shard").isin(sorted(n for n in names if n is not None))), new_path)
-    found = sorted(r[0] for r in assigned.select("shard").distinct().collect())
+    write_shards(assigned.filter(F.col("shard").isin(sorted(n for n in names if n is not None))), new_path, ranges)
+    found = sorted(r[0] for r in placed.select("shard").distinct().collect())
     return spark.createDataFrame([(s, f"{new_path if s in names else old_path}/shard={s}", s in names) for s in found], "shard int, path string, rewritten boolean")
 
 
-def document_rows(documents: DataFrame, old_shards: int = 40, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, text_hash, old_shard, carry) of documents that lie in one old shard for each hash of their source."""
+def old_shard(old_shards: int) -> Column:
+    """The old shard of a document: a hash of its source."""
+    return F.pmod(F.xxhash64("source"), F.lit(old_shards)).cast("int")
+
+
+def document_rows(documents: DataFrame, old_shards: int = 40, carry: list[str] | None = None, old: str | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, text_hash, old_shard, carry) of documents that lie in the shard ``old``, or in one for each hash of their source.
+
+    What is to be placed, without the texts: ``reshard_documents`` moves those.
+    """
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     return documents.select(
         "doc_id",
         (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 16).alias("size"),
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("text_hash"),
-        F.pmod(F.xxhash64("source"), F.lit(old_shards)).cast("int").alias("old_shard"),
+        (F.col(old) if old else old_shard(old_shards)).alias("old_shard"),
         *(carry or []),
     )
 
 
+def reshard_documents(documents: DataFrame, old_shards: int = 40, n_new: int = 40) -> tuple[DataFrame, DataFrame]:
+    """Whole documents as old shards on files, dealt to new ones, of which those that gain or lose documents are rewritten.
+
+    Returns the documents as read from the shards' files, with ``old_shard``, ``shard``, ``slot`` and ``moved`` (columns of these
+    names are replaced), and the manifest. Texts are shuffled once, to meet their places; only places go through the flow.
+    """
+    spark = documents.sparkSession
+    kept = documents.drop("old_shard", "shard", "slot", "moved", "_file", "_line")
+    old_path, path = new_path(spark, "old-shards"), new_path(spark, "new-shards")
+    kept.withColumn("shard", old_shard(old_shards)).write.option("compression", "zstd").partitionBy("shard").parquet(old_path)
+    old = spark.read.schema(kept.withColumn("shard", F.lit(0)).schema).parquet(old_path)
+    old = old.select(*kept.columns, F.col("shard").alias("old_shard"), F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_line"))
+    placed = reshard(document_rows(old, carry=["_file", "_line"], old="old_shard"), n_new, group="text_hash")
+    placed = materialize(placed.select(F.col("_file").alias("_f"), F.col("_line").alias("_l"), "old_shard", F.col("slot").cast("long").alias("slot"), "moved", "shard"), "placed")
+    assigned = old.join(placed.drop("old_shard").hint("merge"), (F.col("_file") == F.col("_f")) & (F.col("_line") == F.col("_l"))).drop("_file", "_line", "_f", "_l")
+    manifest = rewrite_shards(spark, old_path, assigned, path, placed=placed, ranges=False)
+    same = [r["shard"] for r in manifest.filter("not rewritten").collect()]  # shard numbers
+    found = spark.read.schema(assigned.schema).parquet(path)
+    return found.unionByName(assigned.filter(F.col("shard").isin(same))) if same else found, manifest
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = reshard(document_rows(read_table(spark, sf_dir, "documents")), group="text_hash")
-    return new.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")
+    """Sizes and checksums are those of the texts that the shards' files hold."""
+    found = document_rows(reshard_documents(read_table(spark, sf_dir, "documents"))[0], carry=["shard", "slot", "moved"], old="old_shard")
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard", "moved")

@@ -444,6 +444,32 @@ def test_sharding_keeps_groups_that_fit(spark):
         sharding.reshard(names, old="shard")
 
 
+def test_documents_are_in_the_files_of_their_shards(spark, tmp_path):
+    """The query's rows are read from shard files that hold whole documents; shards without a change are not rewritten."""
+    before = len(common.WRITTEN)
+    found = {r["doc_id"]: r for r in sharding.op9_sharding(spark, DATA).collect()}
+    documents = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    folder = [p for p in common.WRITTEN[before:] if "/new-shards-" in p]
+    held = spark.read.parquet(*folder).collect()
+    assert sorted(r["doc_id"] for r in held) == sorted(documents)
+    for r in held:
+        assert all(r[c] == documents[r["doc_id"]][c] for c in ("text", "lang", "source", "n_chars"))
+        assert (r["shard"], r["slot"]) == (found[r["doc_id"]]["shard"], found[r["doc_id"]]["slot"])
+    names = {}
+    for i in range(100):
+        names.setdefault(spark.range(1).select(F.lit(f"s{i}").alias("source")).select(sharding.old_shard(4)).first()[0], f"s{i}")
+        if len(names) == 4:
+            break
+    level = spark.createDataFrame([(i, names[i % 4], f"{i:034d}", "x") for i in range(400)], "doc_id long, source string, text string, moved string")
+    rows, manifest = sharding.reshard_documents(level, 4, 4)
+    assert [r["rewritten"] for r in manifest.collect()] == [False] * 4
+    assert sorted((r["doc_id"], r["text"]) for r in rows.collect()) == [(i, f"{i:034d}") for i in range(400)]
+    odd = spark.createDataFrame([(None, None, None), (1, None, "a"), (1, None, "a"), (2, "s", "b" * 500)], level.drop("moved").schema)
+    rows, manifest = sharding.reshard_documents(odd, 4, 3)
+    assert sorted(r["text"] or "" for r in rows.collect()) == ["", "a", "a", "b" * 500]
+    assert sharding.reshard_documents(odd.limit(0))[0].collect() == []
+
+
 # Queries
 
 
