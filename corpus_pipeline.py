@@ -1,7 +1,8 @@
 """A corpus pipeline in stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
 
 toxicity: documents that the classifier chain rejects go. simhash: of each group of equal or near-equal
-texts (five-word shingles, similarity 0.8) the document with the smallest id stays. decontamination:
+texts (five-word shingles, similarity 0.8; candidates by SimHash fingerprints through the pigeonring filter and by MinHash
+keys, decided exactly) the document with the smallest id stays. decontamination:
 documents that hold a copy of a test item go. mixing: sources are brought to their targets, so documents
 are dropped or repeated. sharding: the result is dealt to 40 shards by bytes, with a slot for each row.
 

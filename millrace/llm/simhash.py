@@ -192,24 +192,24 @@ def band_keys(h: np.ndarray) -> np.ndarray:
 
 
 def text_marks(documents: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, x, t1, t2, n, bands, marks): a text's hashes, and the number, keys and sketch of its distinct shingles."""
+    """(key, x, t1, t2, n, fp, bands, marks): a text's hashes, and the number, keys and sketch of its distinct shingles; fp is its SimHash."""
 
     def run(batches):
         known: dict[bytes, int] = {}
         for batch in slices(batches):
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for t in batch.column(2).to_pylist():
                 data = (t or "").encode()
                 digest = xxhash.xxh128_digest(data)
                 h = shingle_hashes(data.lower().split(), words, known)
-                values = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), len(h), band_keys(h), sketch(h))
+                values = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), len(h), fingerprint(t), band_keys(h), sketch(h))
                 for column, value in zip(out, values):
                     column.append(value)
-            types = [pa.int64()] * 3 + [pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, types))], names=["k", "x", "t1", "t2", "n", "bands", "marks"])
+            types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, types))], names=["k", "x", "t1", "t2", "n", "fp", "bands", "marks"])
 
     rows = documents.select(F.col(key), text_hash(text), F.col(text).cast("string"))
-    return rows.mapInArrow(trimmed(run), f"k {rows.schema[0].dataType.simpleString()}, x long, t1 long, t2 long, n long, bands array<long>, marks binary")
+    return rows.mapInArrow(trimmed(run), f"k {rows.schema[0].dataType.simpleString()}, x long, t1 long, t2 long, n long, fp long, bands array<long>, marks binary")
 
 
 def text_hash(text: str) -> Column:
@@ -313,7 +313,9 @@ def crowded_links(keys: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, key: str = "doc_id", text: str = "text", crowd: int = 16) -> DataFrame:
     """(key, t1, t2, component): groups of documents whose ``words``-word shingles are similar to ``similarity``.
 
-    Candidates share a key: ``BAND`` MinHash minima of all their shingles, in one of ``BANDS`` bands. They are
+    Candidates come from two filters. The SimHash fingerprints of ``near_duplicates`` pass the pigeonring filter, which
+    gives texts with equal ones, or with ones that differ in two bits at most, as stars. Texts at ``similarity`` mostly differ in more
+    bits; those share a key: ``BAND`` MinHash minima of all their shingles, in one of ``BANDS`` bands. Candidates are
     linked if the Jaccard similarity of their whole sets of shingles is at least ``similarity``; sizes and
     sketches only spare comparisons that can't reach it. Equal texts are one node. In a key with more than
     ``crowd`` different texts each is first compared with two of them, the one of the smallest uid and one drawn by
@@ -322,7 +324,7 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
     key drops a pair. component is the smallest key.
     """
     rows = materialize(text_marks(documents, key, text, words), "marks")
-    same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), *(F.first(c).alias(c) for c in ("x", "n", "bands", "marks")))
+    same = rows.groupBy("t1", "t2").agg(F.min("k").alias("least"), *(F.first(c).alias(c) for c in ("x", "n", "fp", "bands", "marks")))
     nodes = numbered_by(same, [F.col("least").asc_nulls_last(), F.col("t1").asc(), F.col("t2").asc()], "uid", "nodes")
     marks = nodes.select(F.col("uid").alias("_w"), "marks")
 
@@ -338,7 +340,10 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, words: int = 5, k
     for hub in ("hub", "hub2"):
         star = many.filter((F.col("uid") != F.col(f"{hub}.uid")) & sizes("n", f"{hub}.n"))
         pairs = pairs.unionByName(star.select(F.least("uid", F.col(f"{hub}.uid")).alias("u"), F.greatest("uid", F.col(f"{hub}.uid")).alias("v")))
-    found = pairs.distinct().join(marks, F.col("u") == F.col("_w")).withColumnRenamed("marks", "a").drop("_w").join(marks, F.col("v") == F.col("_w")).withColumnRenamed("marks", "b")
+    prints = materialize(nodes.groupBy("fp").agg(F.min("uid").alias("first")), "copies-prints")
+    near = fingerprint_links(prints, node="first").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    equal = nodes.select("uid", F.col("fp").alias("_fp")).join(prints, F.col("_fp") == F.col("fp")).filter(F.col("uid") != F.col("first")).select(F.col("first").alias("u"), F.col("uid").alias("v"))
+    found = pairs.unionByName(near).unionByName(equal).distinct().join(marks, F.col("u") == F.col("_w")).withColumnRenamed("marks", "a").drop("_w").join(marks, F.col("v") == F.col("_w")).withColumnRenamed("marks", "b")
     likely = materialize(similar_pairs(found, similarity - MARGIN), "copies-pairs")
     links = materialize(exact_pairs(documents, nodes, likely, similarity, words, text), "copies-links")
     linked = components(links)

@@ -184,6 +184,29 @@ def same_component(found, exact):
     return {frozenset(k for k in found if found[k] == c) for c in found.values()} == {frozenset(k for k in roots if roots[k] == c) for c in roots.values()}
 
 
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """Without a shared MinHash key the pigeonring filter finds texts within two bits; those below the similarity stay apart."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    while len(pairs) < 6:
+        words = [f"w{rng.randrange(5000)}" for _ in range(1500)]
+        other = [*words[:-1], "changed"]
+        bits = (simhash.fingerprint(" ".join(words)) ^ simhash.fingerprint(" ".join(other))).bit_count()
+        if bits <= 2 and (bits or len(pairs) < 3):
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    alone = [(900, "lone " * 3000 + "a b c d e f g"), (901, "lone " * 3000 + "h i j k l m n")]
+    assert simhash.fingerprint(alone[0][1]) == simhash.fingerprint(alone[1][1])
+
+    def no_keys(h):
+        return np.random.default_rng(int(h.sum() % np.uint64(1 << 32))).integers(-(1 << 62), 1 << 62, simhash.BANDS)
+
+    monkeypatch.setattr(simhash, "band_keys", no_keys)
+    df = spark.createDataFrame(rows + alone, "doc_id long, text string")
+    found = {r["doc_id"]: r["component"] for r in simhash.near_copies(df).collect()}
+    assert all(found[b] == a for a, b in pairs) and found[900] == 900 and found[901] == 901
+
+
 def test_near_copies_of_one_vocabulary(spark):
     """Orderings of one text's blocks share all words; each has one near copy."""
     rng = random.Random(4)
