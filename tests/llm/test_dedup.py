@@ -346,6 +346,17 @@ def test_a_crowd_over_many_shards_keeps_every_link(spark, spread, size):
     assert all(found[i]["component_id"] == 0 for i in range(size)) and found[0]["recall"] == 1.0
 
 
+def test_a_large_label_is_split_once(spark):
+    """Each split multiplies the rows of a label: in two rounds they were at least four times as many."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(6000, 8)))], "vec_id long, embedding array<float>, label int")
+    classes = embeddings.vector_classes(df, "vec_id", "embedding", "label")[1]
+    shards = embeddings.sharded(classes, 20)
+    assert 3 * 6000 <= shards.count() < 4 * 6000
+    x, c = rng.normal(size=(5000, 8)), rng.normal(size=(9, 8))
+    assert (embeddings.nearest(x, c, 3) == np.argsort(-(x @ c.T), axis=1)[:, :3]).all()
+
+
 def test_small_labels_and_split_cells(spark):
     rng = np.random.default_rng(4)
     rows = [(i, v, i % 300) for i, v in enumerate(vectors(rng, 900))] + [(2000 + i, v, 999) for i, v in enumerate(vectors(rng, 800))]
